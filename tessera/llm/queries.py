@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import secrets, shards, tokencount, urls
+from tessera.llm import packing, secrets, shards, tokencount, urls
 from tessera.llm._common import load
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(load(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -26,6 +30,6 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(found)
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op5_sharding, op8_url_filters, op9_secret_scans)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op5_sharding, op8_url_filters, op9_secret_scans)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -5,15 +5,16 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import text_slices
+from tessera.llm._common import bytes_of, class_table, text_slices, words_of
+from tessera.llm._words import WordMemory
 
 SPACE = "▁"
-#: Pre-tokens that a worker remembers; beyond that it starts anew, so its memory stays bounded.
-REMEMBERED = 300_000
+NOT_SPACE = class_table(separators=b" ")
 _RUN = re.compile(" +[^ ]*")
 _COUNTERS: dict[str, Counter] = {}
 
@@ -36,19 +37,32 @@ class Counter:
         words = [(i, p[1:].replace(SPACE, " ")) for i, p in plain if p.startswith(SPACE) and len(p) > 1]
         self.alone = {w: 1 for (i, w), ids in zip(words, self.model.encode([w for _, w in words], num_threads=1), strict=True) if ids == [i]}
         self.alone[""] = len(self.model.encode("a ")) - len(self.model.encode("a"))  # one space sign at the end of a text
-        self.memory = dict(self.alone)
-
-    def __call__(self, texts: list[str]) -> list[int]:
+        self.memory = WordMemory(self._rest)
+
+    def _rest(self, words: list[bytes], _: np.ndarray) -> list[np.ndarray]:
+        """For every word an array as long as the word's tokens: the memory keeps lengths."""
+        texts = [w.decode() for w in words]
+        sizes = [self.alone.get(t, 0) for t in texts]
+        rest = [i for i, n in enumerate(sizes) if not n]
+        for i, ids in zip(rest, self.model.encode([texts[i] for i in rest], num_threads=1), strict=True):
+            sizes[i] = len(ids)
+        return [np.zeros(n, np.uint32) for n in sizes]
+
+    def __call__(self, texts: pa.Array) -> np.ndarray:
         if not self.splits:
-            return [len(x) for x in self.model.encode(texts, num_threads=1)]
-        parts = [self.pretokens(t) for t in texts]
-        rest = list(set().union(*parts) - self.memory.keys())
-        if len(self.memory) + len(rest) > REMEMBERED:
-            self.memory = dict(self.alone)
-            rest = list(set().union(*parts) - self.memory.keys())
-        self.memory.update(zip(rest, map(len, self.model.encode(rest, num_threads=1)), strict=True))
-        get = self.memory.__getitem__
-        return [sum(map(get, p)) for p in parts]
+            return np.array([len(x) for x in self.model.encode(texts.to_pylist(), num_threads=1)], np.int64)
+        raw, off = bytes_of(texts)
+        starts, ends, owner = words_of(raw, off, NOT_SPACE)
+        rows = self.memory.rows(raw, starts, ends)
+        out = np.bincount(owner, self.memory.sizes(rows), len(texts)).astype(np.int64)
+        # texts with spaces beside other spaces or at an end, or with the sign itself: their pre-tokens hold spaces
+        space = np.flatnonzero(raw == 32)
+        odd = space[np.isin(space, off[:-1]) | np.isin(space + 1, off[1:])]
+        odd = np.concatenate([odd, space[:-1][np.diff(space) == 1], np.flatnonzero((raw[:-2] == 0xE2) & (raw[1:-1] == 0x96) & (raw[2:] == 0x81))])
+        for i in np.unique(np.searchsorted(off, odd, side="right") - 1).tolist():
+            parts = self.pretokens(texts[i].as_py())
+            out[i] = sum(self.alone.get(p) or len(self.model.encode(p)) for p in parts)
+        return out
 
     @staticmethod
     def pretokens(text: str) -> list[str]:
@@ -57,9 +71,7 @@ class Counter:
             return []
         if SPACE in text:
             text = text.replace(SPACE, " ")
-        if text[0] == " " or text[-1] == " " or "  " in text:
-            return [x[1:] for x in _RUN.findall(" " + text)]
-        return text.split(" ")
+        return [x[1:] for x in _RUN.findall(" " + text)]
 
 
 def counter(path: str) -> Counter:
@@ -79,8 +91,7 @@ def token_counts(docs: DataFrame, model_path: str, key: str = "doc_id", text: st
         tokens = counter(model_path)
         for batch in batches:
             for part in text_slices(batch):
-                texts = part.column(1).to_pylist()
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(tokens(texts), pa.int64())], names=["_key", "n_bytes", "n_tokens"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(tokens(part.column(1)), pa.int64())], names=["_key", "n_bytes", "n_tokens"])
 
     body = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("n_bytes", F.octet_length("text").cast("long"))
     kind = dict(body.dtypes)["_key"]
