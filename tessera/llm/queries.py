@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import packing, secrets, shards, tokencount, urls
+from tessera.llm import langid, packing, secrets, shards, tokencount, urls
 from tessera.llm._common import load
 
 
@@ -21,6 +22,12 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard(load(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "lang", "text").withColumn("held_out", langid.held_out(F.col("doc_id")))
+    model = langid.learn(docs.where(~F.col("held_out")))
+    return langid.identify(docs, model, keep=["doc_id", "held_out"]).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(load(spark, sf_dir, "pages"), urls.default_rules(spark))
 
@@ -30,6 +37,6 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(found)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op5_sharding, op8_url_filters, op9_secret_scans)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op5_sharding, op7_language_id, op8_url_filters, op9_secret_scans)}
 
 ORACLE_SQL: dict[str, str] = {}
