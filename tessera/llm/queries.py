@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, langid, packing, secrets, shards, tokencount, urls
+from tessera.llm import decontam, jaccard, langid, packing, secrets, shards, tokencount, urls
 from tessera.llm._common import load
 
 
@@ -18,6 +18,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(load(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(load(spark, sf_dir, "documents"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.decontaminate(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -42,6 +46,6 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(found)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op4_benchmark_decontamination, op5_sharding, op7_language_id, op8_url_filters, op9_secret_scans)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op3_ngram_jaccard_join, op4_benchmark_decontamination, op5_sharding, op7_language_id, op8_url_filters, op9_secret_scans)}
 
 ORACLE_SQL: dict[str, str] = {}
