@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, jaccard, langid, packing, secrets, shards, tokencount, urls
+from tessera.llm import ann, decontam, jaccard, langid, packing, secrets, shards, tokencount, urls
 from tessera.llm._common import load
 
 
@@ -46,6 +46,10 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(found)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op3_ngram_jaccard_join, op4_benchmark_decontamination, op5_sharding, op7_language_id, op8_url_filters, op9_secret_scans)}
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(load(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op3_ngram_jaccard_join, op4_benchmark_decontamination, op5_sharding, op7_language_id, op8_url_filters, op9_secret_scans, op10_nearest_neighbours)}
 
 ORACLE_SQL: dict[str, str] = {}
