@@ -52,4 +52,15 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op3_ngram_jaccard_join, op4_benchmark_decontamination, op5_sharding, op7_language_id, op8_url_filters, op9_secret_scans, op10_nearest_neighbours)}
 
-ORACLE_SQL: dict[str, str] = {}
+_RULES = ", ".join(f"('{verdict}', '{host}', '/{path}', '{host}/{path}')" for verdict, host, path in urls.CONTRACT_RULES)
+_PATTERNS = " OR ".join(f"regexp_matches(host || path, '{pattern}')" for _, _, pattern in urls.DEFAULT_PATTERNS)
+ORACLE_SQL: dict[str, str] = {
+    "op8_url_filters": f"""WITH u AS (SELECT page_id, contains(coalesce(url, ''), '://') AS ok, substr(coalesce(url, ''), strpos(coalesce(url, ''), '://') + 3) AS rest FROM pages),
+  p AS (SELECT page_id, CASE WHEN ok THEN translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+    CASE WHEN ok THEN regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM u),
+  r(verdict, rhost, rpath, rule) AS (VALUES {_RULES}),
+  f AS (SELECT p.host, p.path, r.rule, r.verdict, row_number() OVER (PARTITION BY p.host, p.path ORDER BY length(r.rule) DESC, r.rule) AS k
+    FROM (SELECT DISTINCT host, path FROM p) p, r WHERE (p.host = r.rhost OR ends_with(p.host, '.' || r.rhost)) AND starts_with(p.path, r.rpath))
+  SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, CASE WHEN {_PATTERNS.replace("host", "p.host").replace("path", "p.path")} THEN 'block' ELSE 'allow' END) AS verdict
+  FROM p LEFT JOIN f ON f.host = p.host AND f.path = p.path AND f.k = 1"""
+}
