@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, decontam, jaccard, langid, packing, secrets, shards, tokencount, urls
+from tessera.llm import ann, decontam, jaccard, langid, licenses, packing, secrets, shards, tokencount, urls
 from tessera.llm._common import load
 
 
@@ -31,6 +31,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard(load(spark, sf_dir, "documents"))
 
 
+def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(load(spark, sf_dir, "documents"), licenses.default_templates(spark))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "lang", "text").withColumn("held_out", langid.held_out(F.col("doc_id")))
     model = langid.learn(docs.where(~F.col("held_out")))
@@ -50,7 +54,7 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(load(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op3_ngram_jaccard_join, op4_benchmark_decontamination, op5_sharding, op7_language_id, op8_url_filters, op9_secret_scans, op10_nearest_neighbours)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op3_ngram_jaccard_join, op4_benchmark_decontamination, op5_sharding, op6_license_scans, op7_language_id, op8_url_filters, op9_secret_scans, op10_nearest_neighbours)}
 
 _RULES = ", ".join(f"('{verdict}', '{host}', '/{path}', '{host}/{path}')" for verdict, host, path in urls.CONTRACT_RULES)
 _PATTERNS = " OR ".join(f"regexp_matches(host || path, '{pattern}')" for _, _, pattern in urls.DEFAULT_PATTERNS)

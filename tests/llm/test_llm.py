@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, decontam, jaccard, langid, packing, secrets, shards, tokencount, urls
+from tessera.llm import ann, decontam, jaccard, langid, licenses, packing, secrets, shards, tokencount, urls
 
 WORDS = "the of and pump valve press heat flow unit line code check open close turn left right part number one two".split()
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, tokens int, piece string, shard string, n int"
@@ -122,6 +122,51 @@ def test_shards(docs, empty):
     assert shards.shard(empty).count() == 0
 
 
+def licensed(template, words, share):
+    """The best matched count of template in words by a whole table of scores, no band; None below the share."""
+    rows = [[(0, 0)] * (len(words) + 1)]
+    for i, t in enumerate(template, 1):
+        row = [(-i, 0)]
+        for j, w in enumerate(words, 1):
+            (s, n), (u, k), (v, o) = rows[-1][j - 1], rows[-1][j], row[-1]
+            row.append(max((s + (2 if t == w else -1), n + (t == w)), (u - 1, k), (v - 1, o)))
+        rows.append(row)
+    best = max(rows[-1])[1]
+    return best if best >= share * len(template) else None
+
+
+def test_licenses(spark, docs, empty):
+    own = licenses.TEMPLATES
+    mit = own["MIT/text"].split()
+    edited = [w for i, w in enumerate(mit) if i % 23] + ["x"] * 9
+    table = [(100, "Ünï code. " + own["GPL-3.0/line"] + " and " + own["MIT/line"]), (101, " ".join(edited)), (102, "released under the mit"), (103, own["MIT/line"] * 3), (104, None), (105, "MIT License"), (106, "so it was Licensed under CC BY-NC 4.0."), (107, " ".join(mit[:40])), (100, "Ünï code. " + own["GPL-3.0/line"] + " and " + own["MIT/line"]), (None, own["ISC/text"])]
+    rows = docs.select("doc_id", "text", "lang", "piece").unionByName(spark.createDataFrame(table, "doc_id long, text string"), allowMissingColumns=True).withColumn("name", F.lit("clash"))
+    extra = [(None, "short one"), ("empty", None), ("blank", " "), *sorted(own.items()), ("MIT/line", own["MIT/line"])]
+    found = licenses.scan(rows, spark.createDataFrame(extra, "name string, text string")).collect()
+    got = {(r.doc_id, r.name): r for r in found}
+    split = lambda t: re.findall("[a-z0-9\x80-\U0010ffff]+", t.lower())
+    for doc, text in table:
+        for name in ("GPL-3.0/line", "MIT/line", "MIT/text", "ISC/text", "CC-BY-NC-4.0/line"):
+            want = licensed(split(own[name]), split(text or ""), 0.8) if text else None
+            have = got[(doc, name)].n_matched if (doc, name) in got else None
+            # four of five words in a row hold no whole fingerprint of five words
+            assert have == want or (doc, name) == (102, "MIT/line"), (doc, name)
+    assert sorted(r.start for r in found if r.doc_id == 103) == [0, 31, 62] and sum(r.doc_id == 100 for r in found) == 4
+    assert table[0][1][got[(100, "GPL-3.0/line")].start : got[(100, "GPL-3.0/line")].end] == own["GPL-3.0/line"][:-1]
+    assert got[(106, "CC-BY-NC-4.0/line")].coverage == 1 and (106, "CC-BY-4.0/line") not in got
+    assert not [r for r in found if r.doc_id is not None and r.doc_id < 100]
+    one = spark.createDataFrame([("", "mit license")], "name string, text string")
+    assert {r.doc_id for r in licenses.scan(rows, one).collect()} == {100, 103, 105}
+    assert licenses.scan(empty, licenses.default_templates(spark)).count() == 0
+    assert licenses.scan(rows, one.limit(0)).count() == 0
+
+
+def test_winnow_keeps_a_print_of_every_window():
+    grams = np.random.default_rng(0).integers(0, 9, 200)
+    kept = licenses.winnow(grams, 4)
+    assert all(((kept >= i) & (kept < i + 4)).any() for i in range(197)) and len(kept) < 150
+
+
 def test_language(spark, empty):
     rng = np.random.default_rng(2)
     words = {"en": "the of and to in that is was for with".split(), "de": "der die und das nicht sich mit auch eine für".split(), "fr": "le la les des une est que dans pour être".split()}
