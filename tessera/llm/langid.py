@@ -6,11 +6,12 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import LOWER_ASCII, bytes_of, text_slices
+from tessera.llm._common import LOWER_ASCII, bytes_of, text_slices, word_hashes, words_of
 
 #: Slots that n-grams of all lengths are hashed into; a model is so many numbers a language, whatever it learned from.
 SLOTS = 1 << 15
@@ -18,6 +19,8 @@ GRAMS = (1, 2, 3, 4)
 #: Languages that a model may hold; more is an error, not a cut.
 MAX_LANGUAGES = 512
 UNKNOWN = "und"
+#: Text bytes looked at together: n-gram arrays are some fifty times as large.
+SLICE = 500_000
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(97, 123), *range(128, 256)]] = True
 
@@ -66,6 +69,23 @@ def _features(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.concatenate(slots), np.concatenate(words), owner[np.flatnonzero(first)]
 
 
+def _distinct(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """(slots of the n-grams of the distinct words, the distinct word of each, the distinct word and the text of every word, how many distinct words).
+
+    Words repeat, so their n-grams are taken once a slice. Words are told apart by 64-bit hashes.
+    """
+    low = LOWER_ASCII[raw]
+    starts, ends, owner = words_of(low, off, _LETTER)
+    codes, hashes = pd.factorize(word_hashes(low, starts, ends))
+    first = np.empty(len(hashes), np.int64)
+    first[codes[::-1]] = np.arange(len(codes))[::-1]
+    sizes = (ends - starts)[first]
+    bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    at = np.arange(bounds[-1]) + np.repeat(starts[first] - bounds[:-1], sizes)
+    slots, words, _ = _features(low[at], bounds)
+    return slots, words, codes, owner, len(hashes)
+
+
 def learn(docs: DataFrame, lang: str = "lang", text: str = "text") -> Model:
     """n-gram counts of all labelled texts, as smoothed log probabilities. Rows with a null language or text are passed over."""
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
@@ -73,13 +93,13 @@ def learn(docs: DataFrame, lang: str = "lang", text: str = "text") -> Model:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
-            for part in text_slices(batch):
-                slots, words, owner = _features(*bytes_of(part.column(1)))
+            for part in text_slices(batch, limit=SLICE):
+                slots, words, codes, owner, n = _distinct(*bytes_of(part.column(1)))
                 names, code = np.unique(np.array(part.column(0).to_pylist(), object).astype(str), return_inverse=True)
-                of = code[owner[words]] if len(words) else np.zeros(0, np.int64)
-                counts = np.bincount(of * SLOTS + slots, minlength=len(names) * SLOTS).reshape(len(names), SLOTS)
-                for name, row in zip(names.tolist(), counts, strict=True):
-                    total[name] = total.get(name, 0) + row
+                of = code[owner]
+                for k, name in enumerate(names.tolist()):
+                    times = np.bincount(codes[of == k], minlength=n)
+                    total[name] = total.get(name, 0) + np.bincount(slots, times[words], SLOTS).astype(np.int64)
         for name, row in total.items():
             at = np.flatnonzero(row)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at.astype(np.int32)), pa.array(row[at].astype(np.int64))], names=["lang", "slot", "n"])
@@ -101,29 +121,32 @@ def mixtures(model: Model, raw: np.ndarray, off: np.ndarray, rounds: int = 8, mo
     languages ranks them; then sets of the 1 to most first ones are fitted, and the set with the largest log likelihood
     less penalty * (languages - 1) * log(words) is chosen, the smaller one in a tie.
     """
-    slots, words, owner = _features(raw, off)
+    slots, words, codes, owner, distinct = _distinct(raw, off)
     n, langs, count = len(off) - 1, len(model.languages), len(owner)
     out = np.zeros((n, langs))
     sizes = np.bincount(owner, minlength=n)
     if not langs or not count:
         return out, sizes > 0
-    logs = np.stack([np.bincount(words, row[slots], count) for row in model.logs], axis=1)
-    grams = np.maximum(np.bincount(words, minlength=count), 1)
+    logs = np.stack([np.bincount(words, row[slots], distinct) for row in model.logs], axis=1)
+    grams = np.maximum(np.bincount(words, minlength=distinct), 1)
     logs /= np.sqrt(grams)[:, None]  # a word's n-grams overlap: they say less than so many independent ones
     top = logs.max(axis=1)
-    odds = np.exp(logs - top[:, None])
+    # a row for each language, so that sums over languages add whole rows
+    odds = np.ascontiguousarray(np.exp(logs - top[:, None]).T)[:, codes]
+    top = top[codes]
     starts = np.cumsum(sizes) - sizes
     filled = np.flatnonzero(sizes)
 
     def fit(share: np.ndarray, times: int) -> tuple[np.ndarray, np.ndarray]:
-        for _ in range(times + 1):
-            joint = odds * share[owner]
-            total = np.maximum(joint.sum(axis=1), 1e-300)
-            score = np.add.reduceat(np.log(total) + top, starts[filled])
-            if _ < times:
-                share = share.copy()
-                share[filled] = np.add.reduceat(joint / total[:, None], starts[filled]) / sizes[filled, None]
-        return share, score
+        own = share[filled].T
+        for k in range(times + 1):
+            joint = odds * np.repeat(own, sizes[filled], axis=1)
+            total = np.maximum(joint.sum(axis=0), 1e-300)
+            if k < times:
+                own = np.add.reduceat(joint / total, starts[filled], axis=1) / sizes[filled]
+        share = share.copy()
+        share[filled] = own.T
+        return share, np.add.reduceat(np.log(total) + top, starts[filled])
 
     whole, _ = fit(np.full((n, langs), 1 / langs), rounds)
     order = np.argsort(-whole, axis=1, kind="stable")
@@ -153,12 +176,10 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
 
     @F.pandas_udf("lang_pred string, score double, lang_mix array<double>")
     def infer(texts):  # noqa: ANN001, ANN202
-        import pandas as pd
-
         own = shared.value
         batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string(), from_pandas=True)], names=["text"])
         pred, score, mix = [], [], []
-        for part in text_slices(batch, limit=max(100_000, 2_000_000 * 8 // max(8, len(own.languages)))):
+        for part in text_slices(batch, limit=max(100_000, SLICE * 8 // max(8, len(own.languages)))):
             shares, has = mixtures(own, *bytes_of(part.column(0)))
             for i, (row, ok) in enumerate(zip(shares, has.tolist(), strict=True)):
                 if ok and own.languages and any(map(str.isalpha, part.column(0)[i].as_py())):
