@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontam, jaccard, langid, packing, secrets
@@ -20,26 +20,38 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where(F.col("lang_pred") != langid.UNKNOWN).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
+def _named(columns: list[str]) -> tuple[Column, Column]:
+    """128 bits, as two numbers, that name the values of columns; nulls count as values."""
+    parts = [x for c in columns for x in (F.col(c), F.col(c).isNull())]
+    return F.xxhash64(*parts), F.xxhash64(F.lit(1), *parts)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays; of rows with one doc_id, one stays."""
-    groups = jaccard.jaccard_components(docs)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.select(*COLUMNS).join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+    """Of each group of linked rows one stays, whatever their doc_ids: the one with the smallest doc_id, null ids last, and of several with that the one with the smallest name. Of rows equal in all columns one stays."""
+    a, b = _named(COLUMNS)
+    rows = docs.select(*COLUMNS, a.alias("_a"), b.alias("_b"))
+    # the smallest key of a component is a row of it, not only a doc_id
+    keyed = rows.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_a", "_b").alias("_row"), "text")
+    groups = jaccard.jaccard_components(keyed, key="_row")
+    kept = groups.where("_row = component_id").select("_row._a", "_row._b").distinct()
+    return rows.join(kept.hint("shuffle_hash"), ["_a", "_b"], "left_semi").dropDuplicates(["_a", "_b"]).select(*COLUMNS)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go, clean ones stay as they are."""
-    found = decontam.decontaminate(docs, load(spark, sf_dir, "benchmark"))
-    dirty = found.where("contaminated").select(F.col("doc_id").alias("_dirty")).distinct()
-    return docs.select(*COLUMNS).join(dirty.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_dirty")), "left_anti")
+    """Contaminated documents go, clean ones stay as they are. Texts decide: rows with one doc_id may fare differently."""
+    a, b = _named(["text"])
+    rows = docs.select(*COLUMNS, a.alias("_a"), b.alias("_b"))
+    found = decontam.decontaminate(rows.select(F.struct("_a", "_b").alias("_text"), "text"), load(spark, sf_dir, "benchmark"), key="_text")
+    dirty = found.where("contaminated").select("_text._a", "_text._b").distinct()
+    return rows.join(dirty.hint("shuffle_hash"), ["_a", "_b"], "left_anti").select(*COLUMNS)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in texts give way to a mask, and n_chars follows; no document goes."""
     found, _ = secrets.scan(docs)
-    hits = found.where(F.size("spans") > 0).select(F.col("doc_id").alias("_hit"), "spans").dropDuplicates(["_hit"])
-    rows = docs.select(*COLUMNS).join(hits.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_hit")), "left")
+    # spans belong to a text, which its sha names
+    hits = found.where(F.size("spans") > 0).select("sha", "spans").dropDuplicates(["sha"])
+    rows = docs.select(*COLUMNS, F.sha2(text_or_empty(), 256).alias("sha")).join(hits.hint("shuffle_hash"), "sha", "left")
     text = F.when(F.col("spans").isNotNull(), secrets.redacted(text_or_empty(), F.col("spans"))).otherwise(F.col("text"))
     rows = rows.withColumn("text", text).withColumn("n_chars", F.when(F.col("spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return rows.select(*COLUMNS)

@@ -244,3 +244,29 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     spark.createDataFrame([(1, dirty)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert got >= set(range(2, 12)) | {0, 1} and not got & {12, 13, 14, 15}
+
+
+def test_pipeline_stages_decide_by_row(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(6)
+    prose = [" ".join(rng.choice(WORDS, 40)) + f" unique{i}" for i in range(6)]
+    dirty = " ".join(f"bench{i}" for i in range(20))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    table = lambda pairs: spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in pairs], schema)
+    spark.createDataFrame([(1, dirty)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    plain = lambda found: Counter((r.doc_id, r.text, r.n_chars) for r in found.collect())
+    count = lambda pairs: Counter((i, t, len(t)) for i, t in pairs)
+
+    # null ids and one id on two texts; the copies of 3 go, as 3 has the smaller id
+    stay = [(None, prose[0]), (None, prose[1]), (7, prose[2]), (7, prose[3]), (3, prose[4])]
+    go = [(7, prose[4]), (None, prose[4]), (None, prose[0]), (7, prose[2])]
+    assert plain(corpus_pipeline.near_duplicates(spark, table(stay + go), str(tmp_path))) == count(stay)
+    assert plain(corpus_pipeline.near_duplicates(spark, table([(None, prose[0]), (None, prose[0])]), str(tmp_path))) == count([(None, prose[0])])
+
+    clean = [(None, prose[0]), (None, prose[1]), (7, prose[2]), (7, prose[2]), (8, prose[3])]
+    assert plain(corpus_pipeline.benchmark_free(spark, table([*clean, (None, dirty), (7, dirty)]), str(tmp_path))) == count(clean)
+
+    secret = "token = abcdef123 " + prose[5]
+    masked = [(i, "[REDACTED] " + prose[5]) for i in (None, 7)]
+    assert plain(corpus_pipeline.without_secrets(spark, table([*clean, (None, secret), (7, secret)]), str(tmp_path))) == count(clean + masked)
