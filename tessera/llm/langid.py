@@ -114,54 +114,65 @@ def learn(docs: DataFrame, lang: str = "lang", text: str = "text") -> Model:
     return Model([r["lang"] for r in found], np.log((counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * SLOTS)).astype(np.float32))
 
 
-def mixtures(model: Model, raw: np.ndarray, off: np.ndarray, rounds: int = 8, most: int = 3, penalty: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
+def mixtures(model: Model, raw: np.ndarray, off: np.ndarray, rounds: int = 8, penalty: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
     """(for each text its languages' proportions, which are 0 outside the chosen set; whether it has words).
 
     A text is a bag of words, each drawn from one language with that language's proportion. Expectation-maximisation over all
-    languages ranks them; then sets of the 1 to most first ones are fitted, and the set with the largest log likelihood
-    less penalty * (languages - 1) * log(words) is chosen, the smaller one in a tie.
+    languages ranks them; then sets of the first ones are fitted, each with one language more, and the set with the largest
+    log likelihood less penalty * (languages - 1) * log(words) is chosen, the smaller one in a tie. A text's sets grow up to
+    all languages, or until no proportions of any languages could be likely enough to make up for the penalty.
     """
     slots, words, codes, owner, distinct = _distinct(raw, off)
     n, langs, count = len(off) - 1, len(model.languages), len(owner)
     out = np.zeros((n, langs))
-    sizes = np.bincount(owner, minlength=n)
+    counts = np.bincount(owner, minlength=n)
     if not langs or not count:
-        return out, sizes > 0
+        return out, counts > 0
     logs = np.stack([np.bincount(words, row[slots], distinct) for row in model.logs], axis=1)
     grams = np.maximum(np.bincount(words, minlength=distinct), 1)
     logs /= np.sqrt(grams)[:, None]  # a word's n-grams overlap: they say less than so many independent ones
-    top = logs.max(axis=1)
-    # a row for each language, so that sums over languages add whole rows
-    odds = np.ascontiguousarray(np.exp(logs - top[:, None]).T)[:, codes]
-    top = top[codes]
-    starts = np.cumsum(sizes) - sizes
-    filled = np.flatnonzero(sizes)
-
-    def fit(share: np.ndarray, times: int) -> tuple[np.ndarray, np.ndarray]:
-        own = share[filled].T
+    # a row for each language, so that sums over languages add whole rows; likelihoods are relative to each word's best language
+    odds = np.ascontiguousarray(np.exp(logs - logs.max(axis=1)[:, None]).T)[:, codes]
+    filled = np.flatnonzero(counts)
+    sizes = counts[filled]
+    cost = penalty * np.log(sizes + 1.0)
+
+    def fit(odds: np.ndarray, share: np.ndarray, sizes: np.ndarray, times: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(proportions, a column for each text, after so many rounds; log likelihood of each text; that of each word's mixture)."""
+        starts = np.cumsum(sizes) - sizes
         for k in range(times + 1):
-            joint = odds * np.repeat(own, sizes[filled], axis=1)
+            joint = odds * np.repeat(share, sizes, axis=1)
             total = np.maximum(joint.sum(axis=0), 1e-300)
             if k < times:
-                own = np.add.reduceat(joint / total, starts[filled], axis=1) / sizes[filled]
-        share = share.copy()
-        share[filled] = own.T
-        return share, np.add.reduceat(np.log(total) + top, starts[filled])
-
-    whole, _ = fit(np.full((n, langs), 1 / langs), rounds)
-    order = np.argsort(-whole, axis=1, kind="stable")
-    rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.arange(langs)[None], axis=1)
+                joint /= total
+                share = np.add.reduceat(joint, starts, axis=1) / sizes
+        return share, np.add.reduceat(np.log(total), starts), total
+
+    whole, score, total = fit(odds, np.full((langs, len(filled)), 1 / langs), sizes, rounds)
+    # the log likelihood is concave: its slopes bound what any proportions can reach
+    slopes = np.add.reduceat(odds / total, np.cumsum(sizes) - sizes, axis=1) / sizes
+    bound = score + sizes * np.log(np.maximum(slopes.max(axis=0), 1.0))
+    order = np.argsort(-whole, axis=0, kind="stable")
     best = np.full(len(filled), -np.inf)
-    for k in range(1, min(most, langs) + 1):
-        share = np.where(rank < k, np.maximum(whole, 1e-6), 0)
-        share /= share.sum(axis=1, keepdims=True)
-        share, score = fit(share, 0 if k == 1 else 3)
-        score = score - penalty * (k - 1) * np.log(sizes[filled] + 1.0)
-        better = score > best
-        out[filled[better]] = share[filled[better]]
-        best = np.where(better, score, best)
-    return out, sizes > 0
+    open_ = np.arange(len(filled))
+    for k in range(1, langs + 1):
+        mask = np.zeros(len(filled), bool)
+        mask[open_] = True
+        named = order[:k, open_]
+        share = np.maximum(np.take_along_axis(whole[:, open_], named, 0), 1e-6)
+        share /= share.sum(axis=0)
+        part = odds[np.repeat(named, sizes[open_], axis=1), np.flatnonzero(np.repeat(mask, sizes))]
+        share, score, _ = fit(part, share, sizes[open_], 0 if k == 1 else 3)
+        score -= (k - 1) * cost[open_]
+        better = score > best[open_]
+        at = open_[better]
+        best[at] = score[better]
+        out[filled[at]] = 0
+        out[filled[at][None], named[:, better]] = share[:, better]
+        open_ = open_[best[open_] < (bound - k * cost)[open_]]
+        if not len(open_):
+            break
+    return out, counts > 0
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:

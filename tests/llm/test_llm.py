@@ -181,6 +181,19 @@ def test_language(spark, empty):
     assert langid.identify(table, langid.learn(empty)).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_mixtures_hold_as_many_languages_as_the_text(spark):
+    rng = np.random.default_rng(8)
+    words = {f"l{k}": ["".join(rng.choice(list(letters), 5)) for _ in range(20)] for k, letters in enumerate(("abcd", "efgh", "ijkl", "mnop", "qrst", "uvwx"))}
+    rows = [(i, " ".join(rng.choice(words[lang], 30)), lang) for i in range(60) for lang in [f"l{i % 6}"]]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    for many in range(1, 7):
+        text = " ".join(" ".join(rng.choice(words[f"l{k}"], 60 + (k == 0))) for k in range(many))
+        shares, has = langid.mixtures(model, np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+        assert has.all() and np.allclose(shares[0, :many], 1 / many, atol=0.02) and not shares[0, many:].any()
+    found = langid.identify(spark.createDataFrame([(text,)], "text string"), model).first()
+    assert found.lang_pred == "l0" and found.score < 0.19 and min(found.lang_mix) > 0.15
+
+
 def test_urls(spark):
     rows = [(1, "https://a.Example.com/en/7198?x"), (2, "http://x.com/en/8"), (3, "https://example.net/de/81"), (4, "https://q.net/de/81#y"), (5, "http://b.org/fr/1"), (6, None), (7, "x.com/en/1"), (8, "https://spam-farm.example.org/en"), (1, "https://a.Example.com/en/7198?x"), (None, "http://notcom/en/"), (10, "http://com?en/")]
     pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit("clash"))
