@@ -15,6 +15,8 @@ from tessera.llm._common import written
 BLOCK = 512
 #: Nodes that every search may start from, beside the query's own neighbours: a fixed number.
 ENTRIES = 64
+#: Rounds after which a graph or a search that goes on is an error; no result is cut short.
+GUARD = 1000
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -64,10 +66,14 @@ def classes(vectors: DataFrame, key: str, vector: str) -> tuple[DataFrame, DataF
 
 
 class Graph:
-    """A neighbour graph over nodes (node, vec). Rounds of NN-descent replace neighbours by neighbours of neighbours."""
+    """A neighbour graph over nodes (node, vec). Rounds of NN-descent replace neighbours by neighbours of neighbours.
 
-    def __init__(self, nodes: DataFrame, k: int = 32, sample: int = 16, rounds: int = 4, starts: int = 2, settled: float = 0.002):
-        self.nodes, self.k = nodes, k
+    They go on until a round changes no more than the share settled of all neighbours; rounds has their number, searched that
+    of the last search.
+    """
+
+    def __init__(self, nodes: DataFrame, k: int = 32, sample: int = 16, starts: int = 2, settled: float = 0.002):
+        self.nodes, self.k, self.rounds, self.searched = nodes, k, 0, 0
         self.size = nodes.count()
         if not self.size:
             self.links = nodes.sparkSession.createDataFrame([], _GRAPH)
@@ -77,12 +83,13 @@ class Graph:
         for salt in range(1, starts if self.size > BLOCK else 1):
             near = near.unionByName(self._first(salt))
         links = written(self._merged(near), "graph")
-        for number in range(rounds if self.size > BLOCK else 0):
-            better = written(self._merged(links.unionByName(self._descend(links, sample, number))), "graph")
+        changed = math.inf if self.size > BLOCK else 0
+        while changed > settled * self.size * k:
+            if self.rounds == GUARD:
+                raise RuntimeError("neighbour graph did not settle")
+            better = written(self._merged(links.unionByName(self._descend(links, sample, self.rounds))), "graph")
             changed = better.select("node", F.explode("ids").alias("i")).join(links.select("node", F.explode("ids").alias("i")), ["node", "i"], "left_anti").count()
-            links = better
-            if changed <= settled * self.size * k:
-                break
+            links, self.rounds = better, self.rounds + 1
         self.links = links
 
     def _blocks(self, per: int) -> int:
@@ -150,7 +157,7 @@ class Graph:
         rest = out.withColumn("r", F.row_number().over(some)).where(F.col("r") <= back).select(F.col("to").alias("node"), F.col("node").alias("to"))
         return written(out.unionByName(rest).groupBy("node").agg(F.collect_set("to").alias("near")), "neighbours")
 
-    def search(self, queries: DataFrame, pool: int = 512, step: int = 128, most: int = 60) -> DataFrame:
+    def search(self, queries: DataFrame, pool: int = 512, step: int = 128) -> DataFrame:
         """(query, ids, ds) for queries (query: the node of its vector, vec): the pool nearest nodes found, by exact distance.
 
         A greedy search keeps each query's pool of nearest nodes seen and always asks the neighbours of the nearest step
@@ -181,7 +188,11 @@ class Graph:
             cols += [pa.array([x], pa.list_(t)) for x, t in ((ids, pa.int64()), (ds, pa.float64()), (asked, pa.bool_()), (ids[now], pa.int64()))]
             return pa.Table.from_arrays(cols, names=["query", "q", "ids", "ds", "asked", "ask"])
 
-        for _ in range(most):
+        self.searched = 0
+        while True:
+            if self.searched == GUARD:
+                raise RuntimeError("search did not end")
+            self.searched += 1
             # each pair is measured once
             fresh = written(wanted if seen is None else wanted.join(seen, ["query", "id"], "left_anti"), "fresh")
             seen = fresh if seen is None else seen.unionByName(fresh)

@@ -246,6 +246,24 @@ def test_nearest_neighbours(spark):
     assert ann.nearest(table.where("vec_id in (0, 5)")).select("query_id", "vec_id").collect() == [(0, 5)]
 
 
+def test_neighbour_graph_goes_on_until_it_is_settled(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 64)
+    x = np.random.default_rng(9).normal(size=(2000, 16))
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node long, vec array<double>")
+    graph = ann.Graph(nodes)
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    want = np.argsort(d, axis=1)[:, :32]
+    recall = np.mean([len(set(r.ids) & set(want[r.node].tolist())) / 32 for r in graph.links.collect()])
+    assert recall > 0.97, recall
+    # neither a graph nor a search that has not ended gives a result
+    monkeypatch.setattr(ann, "GUARD", 1)
+    with pytest.raises(RuntimeError):
+        ann.Graph(nodes)
+    with pytest.raises(RuntimeError):
+        graph.search(nodes.where("node < 2").withColumnRenamed("node", "query"), pool=64, step=8)
+
+
 def test_pipeline_keeps_clean_documents(spark, tmp_path):
     import corpus_pipeline
 
