@@ -1,3 +1,4 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.functions.text import completeness, low_information
@@ -48,3 +49,28 @@ def test_stream_appends_each_event_once(spark, tmp_path):
     got = {r.start: r.n for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     want = {r.start: r.n for r in windowed(events).collect()}
     assert got and all(want[k] == n for k, n in got.items())
+
+
+def test_dense_search_keeps_the_smallest_of_many_equal_vectors(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(700, 8))
+    x[rng.permutation(700)[:300]] = x[0]
+    x[rng.permutation(700)[:100]] = x[1] + rng.normal(size=(100, 8)) * 1e-5
+    ids = rng.permutation(700)
+    rows = [(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)]
+    odd = [(5000, None), (5100, [1.0] * 3), (5200, [0.0] * 8), (5300, [None] * 8)]
+    table = spark.createDataFrame(odd + rows, "vec_id long, embedding array<double>").coalesce(1)
+    asked = table.where("vec_id % 100 = 0")
+    got = {(r.query_id, r["rank"]): (r.vec_id, round(r.score, 9)) for r in search.dense(table, asked).collect()}
+    unit = x / np.sqrt((x * x).sum(1))[:, None]
+    for q in range(0, 700, 100):
+        score = unit @ unit[ids == q][0]
+        order = [k for k in np.lexsort((ids, -np.round(score, 6))) if ids[k] != q][:40]
+        assert [got[(q, r)] for r in range(1, 41)] == [(ids[k], round(float(score[k]), 9)) for k in order]
+    assert len(got) == 7 * 40
+
+
+def test_rounding_to_six_places_is_that_of_spark(spark):
+    score = np.array([0.1234565, 0.1234575, -0.1234565, 0.0000005, -0.0000004, 1.0000000000000002, 0.9999995, 0.12345649999999999, *np.random.default_rng(1).uniform(-1, 1, 500), *(np.arange(500) / 1e6 + 5e-7)])
+    rows = spark.createDataFrame([(i, float(s)) for i, s in enumerate(score)], "i int, s double").select("i", F.round("s", 6).alias("s")).orderBy("i").collect()
+    assert [round(r.s * 1e6) for r in rows] == search._millionths(score).tolist()
