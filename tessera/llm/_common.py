@@ -4,18 +4,24 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import gc
 import math
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Text bytes that a Python step looks at together; whole texts only, so one long text may exceed it.
-SLICE_BYTES = 2_000_000
+#: Text bytes that a Python step looks at together; whole texts only, so one long text may exceed it. A step needs up to
+#: fifty times its slice, so a worker's memory follows the longest text.
+SLICE_BYTES = 256_000
+#: Bits of a filter of names that goes to executors: its size is fixed, what passes wrongly drops out later.
+FILTER_BITS = 1 << 23
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,24 +29,44 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir, or, where that is unset (tests), a folder of our own."""
+    """The cluster's spark.checkpoint.dir. In local mode, where driver and tasks share a disk, a folder of our own if that is unset."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
-        conf = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", conf)
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        if "folder" not in _OWN:
+            _OWN["folder"] = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        conf = _OWN["folder"]
     return conf
 
 
+_OWN: dict[str, str] = {}
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a parquet table in the shared folder: lineage ends here and lost executors cost nothing before it.
 
-    Tables stay until the application ends, as lazy results may still read them.
+    Shuffle files of this write go with it. A table stays until the application ends or discard() removes it, as lazy results
+    may still read it.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes written tables that nothing reads any more."""
+    for t in tables:
+        _remove(t.sparkSession, t._written)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -50,11 +76,46 @@ def _remove(spark: SparkSession, path: str) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def bit_filter(names: DataFrame, column: str) -> np.ndarray:
+    """A filter over a column of 64-bit names; executors add bits up, and at most FILTER_BITS / 64 rows reach the driver."""
+    slots = names.select(F.col(column).bitwiseAND(F.lit(FILTER_BITS - 1)).alias("slot"))
+    found = slots.groupBy(F.expr("cast(shiftright(slot, 6) as int)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits")).toPandas()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    return out.view(np.uint8)
+
+
+def passes(bits: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Which 64-bit names the filter may hold."""
+    slots = (names.view(np.int64) & (FILTER_BITS - 1)).astype(np.int64)
+    return (bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
+
+
+_RESIDENT: dict[str, object] = {}
+
+
+def resident(name: str = "", make: Callable[[], object] | None = None) -> object:
+    """What a Python worker keeps between tasks: one thing at a time, so that a step begins without the memory of another one.
+
+    Without make nothing is kept.
+    """
+    if name not in _RESIDENT or make is None:
+        _RESIDENT.clear()
+        _POWERS.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+        if make is not None:
+            _RESIDENT[name] = make()
+    return _RESIDENT.get(name)
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def gapless_rank(df: DataFrame, keys: list[str], order: list[str], name: str, rows: int, per_bucket: int = 20_000) -> DataFrame:
+def gapless_rank(df: DataFrame, keys: list[str], order: list[str], name: str, rows: int, per_bucket: int = 4_000) -> DataFrame:
     """Adds a rank from 0 without gaps within keys, without gathering a key's rows in one task.
 
     Rows go to hash buckets of about per_bucket rows; a row's rank is its place in the bucket plus the sizes of the key's
@@ -82,7 +143,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = written(small, "edges")
+        done, edges = edges, written(small, "edges")
+        discard(done)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == last:
             break

@@ -13,11 +13,12 @@ from tessera.llm._common import word_hashes
 class WordMemory:
     """Token ids of words by 64-bit hashes of their bytes (two remembered words with one hash: under 1e-7 in all).
 
-    Beyond limit words it forgets those that came up once only, then all, so a worker's memory is bounded.
+    Beyond limit words or most ids it forgets words that came up once only, then all: some 30 MB at most, beside what one
+    slice needs.
     """
 
-    def __init__(self, encode: Callable[[list[bytes], np.ndarray], list[np.ndarray]], limit: int = 500_000):
-        self.encode, self.limit = encode, limit
+    def __init__(self, encode: Callable[[list[bytes], np.ndarray], list[np.ndarray]], limit: int = 120_000, most: int = 2_000_000):
+        self.encode, self.limit, self.most = encode, limit, most
         self._clear()
 
     def _clear(self) -> None:
@@ -33,7 +34,7 @@ class WordMemory:
         if kinds is not None:
             hashes = hashes ^ (kinds.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
         codes, distinct = pd.factorize(hashes)
-        if self.n + len(distinct) > self.limit:
+        if self.n + len(distinct) > self.limit or self.start[self.n] > self.most:
             self._forget(len(distinct))
         keys = distinct.tolist()
         found = list(map(self.place.get, keys))
@@ -67,7 +68,7 @@ class WordMemory:
 
     def _forget(self, wanted: int) -> None:
         often = self.hits[: self.n] > 1
-        if often.sum() + wanted > self.limit * 0.7:
+        if often.sum() + wanted > self.limit * 0.7 or self.start[self.n] > self.most:
             return self._clear()
         old, keys = np.flatnonzero(often), np.empty(self.n, np.uint64)
         keys[np.fromiter(self.place.values(), np.int64, len(self.place))] = np.fromiter(self.place.keys(), np.uint64, len(self.place))

@@ -9,12 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import LOWER_ASCII, bytes_of, class_table, text_slices, word_hashes, words_of, written
+from tessera.llm._common import LOWER_ASCII, bit_filter, bytes_of, class_table, discard, passes, resident, text_slices, word_hashes, words_of, written
 
-#: Bits of the filter of wanted terms that goes to every executor: its size is fixed, what passes wrongly drops out in a join.
-FILTER_BITS = 1 << 23
 #: Distinct terms that a task counts before it hands the counts on.
-HELD_TERMS = 500_000
+HELD_TERMS = 100_000
 _WORD = class_table(words=bytes([*range(48, 58), *range(97, 123), *range(128, 256)]))
 
 
@@ -26,23 +24,6 @@ def _terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return word_hashes(low, starts, ends).view(np.int64), owner, np.searchsorted(owner, np.arange(len(texts) + 1))
 
 
-def _slots(terms: np.ndarray) -> np.ndarray:
-    return (terms & (FILTER_BITS - 1)).astype(np.int64)
-
-
-def _filter(terms: DataFrame) -> np.ndarray:
-    """A bit for every slot that a term falls into."""
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    found = terms.select((F.col("term").bitwiseAND(F.lit(FILTER_BITS - 1))).cast("int").alias("slot")).distinct().toPandas()["slot"].to_numpy(np.int64)
-    np.bitwise_or.at(bits, found >> 3, (1 << (found & 7)).astype(np.uint8))
-    return bits
-
-
-def _passes(bits: np.ndarray, terms: np.ndarray) -> np.ndarray:
-    slots = _slots(terms)
-    return (bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
-
-
 def item_windows(items: DataFrame, window: int, item: str = "item_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(items: item_id as text, words; windows: item_id, words' hashes as one key, start, size and position and term of each word)."""
 
@@ -79,10 +60,11 @@ class Index:
         self.postings = self._post(self.searches.select(F.explode("terms.term").alias("term")).distinct())
 
     def _count(self, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
-        bits = self.rows.sparkSession.sparkContext.broadcast(_filter(terms))
+        bits = self.rows.sparkSession.sparkContext.broadcast(bit_filter(terms, "term"))
         kind = dict(self.rows.dtypes)["_key"]
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            resident()
             held: dict[int, int] = {}
             schema = None
 
@@ -99,7 +81,7 @@ class Index:
                     found, _, off = _terms(part.column(1))
                     none = pa.nulls(part.num_rows, pa.int64())
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(np.diff(off)), none, none], names=names)
-                    distinct, times = np.unique(found[_passes(bits.value, found)], return_counts=True)
+                    distinct, times = np.unique(found[passes(bits.value, found)], return_counts=True)
                     for t, k in zip(distinct.tolist(), times.tolist(), strict=True):
                         held[t] = held.get(t, 0) + k
                 if len(held) > HELD_TERMS:
@@ -112,13 +94,14 @@ class Index:
         return both.where("term is null").select("_key", "_a", "_b", "n_words"), counts
 
     def _post(self, terms: DataFrame) -> DataFrame:
-        bits = self.rows.sparkSession.sparkContext.broadcast(_filter(terms))
+        bits = self.rows.sparkSession.sparkContext.broadcast(bit_filter(terms, "term"))
 
         def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            resident()
             for batch in batches:
                 for part in text_slices(batch):
                     found, owner, off = _terms(part.column(0))
-                    at = np.flatnonzero(_passes(bits.value, found))
+                    at = np.flatnonzero(passes(bits.value, found))
                     rows = pa.array(owner[at])
                     yield pa.RecordBatch.from_arrays([pa.array(found[at]), part.column(1).take(rows), part.column(2).take(rows), pa.array((at - off[owner[at]]).astype(np.int32))], names=["term", "_a", "_b", "pos"])
 
@@ -145,6 +128,7 @@ class Index:
         texts = self.rows.select("_a", "_b", "text").join(aligned.hint("shuffle_hash"), ["_a", "_b"])
 
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            resident()
             for batch in batches:
                 for part in text_slices(batch):
                     terms, _, off = _terms(part.column(part.schema.get_field_index("text")))

@@ -10,8 +10,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
-from tessera.llm._common import LOWER_ASCII, bytes_of, text_slices, word_hashes, words_of
+from tessera.llm._common import LOWER_ASCII, bytes_of, resident, text_slices, word_hashes, words_of
 
 #: Slots that n-grams of all lengths are hashed into; a model is so many numbers a language, whatever it learned from.
 SLOTS = 1 << 15
@@ -20,7 +21,7 @@ GRAMS = (1, 2, 3, 4)
 MAX_LANGUAGES = 512
 UNKNOWN = "und"
 #: Text bytes looked at together: n-gram arrays are some fifty times as large.
-SLICE = 500_000
+SLICE = 250_000
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(97, 123), *range(128, 256)]] = True
 
@@ -91,6 +92,7 @@ def learn(docs: DataFrame, lang: str = "lang", text: str = "text") -> Model:
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident()
         total: dict[str, np.ndarray] = {}
         for batch in batches:
             for part in text_slices(batch, limit=SLICE):
@@ -178,34 +180,33 @@ def mixtures(model: Model, raw: np.ndarray, off: np.ndarray, rounds: int = 8, pe
 def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """docs' columns keep (all, if not given) with lang_pred, score (its proportion, 0 to 1) and lang_mix (proportions).
 
-    A null text, a text without a letter, and any text under a model without languages is `und` with score 0. Ties go to the
-    language that sorts first. Repeated rows stay; one pass, no shuffle. Columns named as the new ones are replaced.
+    One pass in Arrow batches, no shuffle. A null text, a text without a letter, and any text under a model without languages is `und` with score 0. Ties go to the
+    language that sorts first. Repeated rows stay. Columns named as the new ones are replaced.
     """
     kept = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score", "lang_mix")]
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # names of our own, so that no column of the table is in the way
+    body = docs.select(*(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(kept)), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    schema = StructType(body.schema.fields[:-1]).add("lang_pred", "string").add("score", "double").add("lang_mix", ArrayType(DoubleType()))
 
-    @F.pandas_udf("lang_pred string, score double, lang_mix array<double>")
-    def infer(texts):  # noqa: ANN001, ANN202
+    def infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident()
         own = shared.value
-        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string(), from_pandas=True)], names=["text"])
-        pred, score, mix = [], [], []
-        for part in text_slices(batch, limit=max(100_000, SLICE * 8 // max(8, len(own.languages)))):
-            shares, has = mixtures(own, *bytes_of(part.column(0)))
-            for i, (row, ok) in enumerate(zip(shares, has.tolist(), strict=True)):
-                if ok and own.languages and any(map(str.isalpha, part.column(0)[i].as_py())):
-                    at = int(row.argmax())
-                    pred.append(own.languages[at])
-                    score.append(float(min(1.0, row[at])))
-                    mix.append(row.tolist())
-                else:
-                    pred.append(UNKNOWN)
-                    score.append(0.0)
-                    mix.append([0.0] * len(own.languages))
-        return pd.DataFrame({"lang_pred": pred, "score": score, "lang_mix": mix})
-
-    out = docs.withColumn("_found", infer(F.coalesce(F.col(text), F.lit(""))))
-    return out.select(*(F.col(f"`{c}`") for c in kept), F.col("_found.lang_pred").alias("lang_pred"), F.col("_found.score").alias("score"), F.col("_found.lang_mix").alias("lang_mix"))
+        many, names = len(own.languages), pa.array([*own.languages, UNKNOWN], pa.string())
+        for batch in batches:
+            for part in text_slices(batch, limit=max(100_000, SLICE * 8 // max(8, many))):
+                texts = part.column(part.num_columns - 1)
+                shares, has = mixtures(own, *bytes_of(texts))
+                told = has & bool(many)
+                told[told] = [any(map(str.isalpha, t)) for t in texts.filter(pa.array(told)).to_pylist()]
+                best = shares.argmax(axis=1) if many else np.zeros(len(told), np.int64)
+                score = np.where(told, np.minimum(shares.max(axis=1, initial=0.0), 1.0), 0.0)
+                mix = pa.ListArray.from_arrays(pa.array(np.arange(len(told) + 1, dtype=np.int32) * many), pa.array(np.where(told[:, None], shares, 0.0).ravel()))
+                found = [names.take(pa.array(np.where(told, best, many))), pa.array(score), mix]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *found], names=schema.names)
+
+    out = body.mapInArrow(infer, schema)
+    return out.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(kept)), "lang_pred", "score", "lang_mix")
 
 
 def held_out(key: Column) -> Column:

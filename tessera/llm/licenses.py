@@ -11,8 +11,8 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._common import LOWER_ASCII, bytes_of, mix64, text_slices, word_hashes, words_of, written
-from tessera.llm.decontam import _WORD, _filter, _passes
+from tessera.llm._common import LOWER_ASCII, bit_filter, bytes_of, mix64, passes, resident, text_slices, word_hashes, words_of, written
+from tessera.llm.decontam import _WORD
 
 #: Words that an alignment may drift from its first anchor, at most; a fifth of the template where that is less.
 MOST_DRIFT = 128
@@ -172,11 +172,12 @@ def scan(docs: DataFrame, templates: DataFrame, key: str = "doc_id", text: str =
     """
     kept, prints = index(templates, gram, window)
     sizes = sorted(r["size"] for r in prints.select("size").distinct().collect())  # at most gram of them
-    bits = docs.sparkSession.sparkContext.broadcast(_filter(prints.select("term").distinct()))
+    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(prints.select("term").distinct(), "term"))
     rows = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("_a", F.xxhash64("_key", "text")).withColumn("_b", F.xxhash64("text", F.lit(1), "_key"))
     kind = dict(rows.dtypes)["_key"]
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident()
         for batch in batches:
             for part in text_slices(batch):
                 words, owner, _, _, _ = _words(part.column(1))
@@ -184,7 +185,7 @@ def scan(docs: DataFrame, templates: DataFrame, key: str = "doc_id", text: str =
                 terms, places = [], []
                 for size in sizes:
                     grams = _grams(words, size)
-                    at = np.flatnonzero(_passes(bits.value, grams))
+                    at = np.flatnonzero(passes(bits.value, grams))
                     at = at[owner[at] == owner[at + size - 1]]
                     terms.append(grams[at])
                     places.append(at)
@@ -206,6 +207,7 @@ def scan(docs: DataFrame, templates: DataFrame, key: str = "doc_id", text: str =
     candidates = places.groupBy("_a", "_b").agg(F.collect_list(F.struct("name", "words", "shifts")).alias("found"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident()
         for batch in batches:
             for part in text_slices(batch):
                 words, _, off, begins, ends = _words(part.column(1))

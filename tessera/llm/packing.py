@@ -13,11 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import LOWER_ASCII, bytes_of, gapless_rank, text_slices, words_of, written
+from tessera.llm._common import LOWER_ASCII, bytes_of, gapless_rank, resident, text_slices, words_of, written
 from tessera.llm._words import WordMemory
 
 END_ID = 1
-_ENCODERS: dict[str, Encoder] = {}
 
 
 class Encoder:
@@ -106,9 +105,7 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return resident(f"ids {path}", lambda: Encoder(path))
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int | None = END_ID, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
@@ -191,7 +188,7 @@ def plan(counts: dict[int, int], capacity: int) -> pd.DataFrame:
     return pd.DataFrame(runs, columns=["length", "first", "count", "per_bin", "sequence", "offset"]).sort_values(["length", "first"], ignore_index=True)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int | None = END_ID, key: str = "doc_id", text: str = "text", with_ids: bool = False, per_bucket: int = 20_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int | None = END_ID, key: str = "doc_id", text: str = "text", with_ids: bool = False, per_bucket: int = 4_000) -> DataFrame:
     """Packs every text into sequences of at most capacity ids: pieces' columns, then sequence_id and offset.
 
     Texts are tokenised once into a written table. The driver sees only how many pieces each length has (capacity rows at

@@ -38,7 +38,7 @@ def shard_of(key: Column, shards: int) -> Column:
     return place(key)
 
 
-def shard(docs: DataFrame, key: str = "doc_id", shards: int = 8, text: str = "text", per_bucket: int = 20_000) -> DataFrame:
+def shard(docs: DataFrame, key: str = "doc_id", shards: int = 8, text: str = "text", per_bucket: int = 4_000) -> DataFrame:
     """Deals every row to a shard: (key, size, text_crc32, law, shard, slot, grown_shard).
 
     The key and the number of shards alone decide; grown_shard is the place with one shard more. size is the text's UTF-8
