@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def duplicate_groups(docs: DataFrame) -> DataFrame:
-    """(digest, copies, canonical_id, duplicate_ids) of texts that several documents hold; the smallest id is canonical."""
+    """(digest, copies, canonical_id, last_id) of texts that several documents hold; the smallest id is canonical, null texts are no copies."""
     named = docs.where(F.col("text").isNotNull()).select(F.md5("text").alias("digest"), "doc_id")
     groups = named.groupBy("digest").agg(F.count("*").alias("copies"), F.min("doc_id").alias("canonical_id"), F.max("doc_id").alias("last_id"))
     return groups.where("copies > 1")
@@ -30,8 +30,8 @@ def counted(left: DataFrame, right: DataFrame, on: list[str], name: str) -> Data
     return left.join(right.groupBy(*on).agg(F.count("*").alias(name)), on, "left").withColumn(name, F.coalesce(name, F.lit(0)))
 
 
-def overlapping(rows: DataFrame, key: str, ident: str, start: str, end: str) -> DataFrame:
-    """(key, pairs) of intervals of one key that overlap: a running count of open intervals instead of a self join."""
+def overlapping(rows: DataFrame, key: str, start: str, end: str) -> DataFrame:
+    """(key, pairs) of intervals of one key that overlap: a running count of open intervals instead of a self join. Closed at both ends; null keys are one key."""
     opened = rows.select(key, F.col(start).alias("at"), F.lit(1).alias("kind"), F.lit(1).alias("step"))
     closed = rows.select(key, F.col(end).alias("at"), F.lit(2).alias("kind"), F.lit(-1).alias("step"))
     before = Window.partitionBy(key).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, -1)

@@ -1,17 +1,53 @@
-"""Hybrid retrieval of a query set: lexical lists fused by rank, then rescored by what each document says."""
+"""Retrieval of a whole table of questions over chunks, from scores to context."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import completeness
-from tessera.operators.search import bm25, overlap, reciprocal_ranks, top
+from tessera.operators import questions as Q
+from tessera.operators import retrieval as R
 
 
-def retrieve(docs: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
-    """(item_id, doc_id, score, rank)."""
-    fused = reciprocal_ranks([bm25(docs, queries), overlap(docs, queries)], "item_id", "doc_id", limit=3 * limit)
-    said = docs.select("doc_id", completeness(F.col("text")).alias("says"))
-    scored = fused.drop("rank").join(said, "doc_id").select("item_id", "doc_id", (F.col("score") + 0.05 * F.col("says")).alias("score"))
-    return top(scored, "item_id", "doc_id", limit)
+def scopes(chunks: DataFrame, analysis: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(postings of every scope; (query_id, scope, query)): all chunks, tables, and the chunk types of each special route."""
+    plain = chunks.sparkSession.createDataFrame([("all", None, None), ("table", ["table_record"], None)], "scope string, chunk_types array<string>, version_signal string")
+    named = Q.routes(analysis).where("keyword is null").withColumn("scope", F.concat_ws("|", F.array_join("chunk_types", ","), F.coalesce("version_signal", F.lit(""))))
+    every = plain.unionByName(named.select("scope", "chunk_types", "version_signal").distinct())
+    asked = analysis.select("query_id", "query")
+    wanted = asked.withColumn("scope", F.explode(F.array(F.lit("all"), F.lit("table")))).select("query_id", "scope", "query")
+    # read by several counts, and kept so that chunks are tokenised once
+    return R.scoped(R.postings(chunks), every).persist(), wanted.unionByName(named.select("query_id", "scope").join(asked, "query_id").select("query_id", "scope", "query"))
+
+
+def candidates(chunks: DataFrame, analysis: DataFrame, limit: int = 40) -> list[DataFrame]:
+    """Hits of the four searches: hashed vectors, words, tables, and each question's special routes, in that order.
+
+    Routes are searched by words; a route for an error code has no list of its own, as codes are words.
+    """
+    asked = analysis.select("query_id", "query")
+    found, wanted = scopes(chunks, analysis)
+    # three lists read these hits: some for each question and scope, kept so that they are searched once
+    words = R.lexical(found, wanted, chunks, limit).persist()
+    tables = R.hashed(chunks.where("chunk_type = 'table_record'"), asked, limit)
+    return [R.hashed(chunks, asked, limit), words.where("scope = 'all'"), R.fused([tables, words.where("scope = 'table'")], limit), words.where("scope not in ('all', 'table')")]
+
+
+def told(pool: DataFrame, chunks: DataFrame, analysis: DataFrame) -> DataFrame:
+    """Hits with the columns of their chunk and what is known of their question."""
+    known = analysis.select("query_id", "query_types", "query_terms", "latest_only")
+    return pool.select("query_id", "chunk_id", "score", "rank").join(chunks, "chunk_id").join(known, "query_id")
+
+
+def retrieve(chunks: DataFrame, questions: DataFrame, limit: int = 10) -> DataFrame:
+    """(query_id, rank, chunk_id, score, chunk_type, context_window, parent_context, documents): the whole plan.
+
+    documents are those that the question's metadata search names; they do not narrow the search where scores are equal across
+    documents, as here. Chunks' and questions' columns: see retrieval and questions.
+    """
+    analysis = Q.analysed(questions)
+    pool = told(R.fused(candidates(chunks, analysis)), chunks, analysis)
+    chosen = R.family_selected(R.aligned(R.completed(R.family_scored(pool))))
+    final = R.assembled(R.deduplicated(R.reranked(R.enriched(chosen, chunks))), chunks, limit)
+    documents = R.documents_chosen(chunks, questions).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc"))), lambda x: x["doc"].cast("string")).alias("documents"))
+    return final.join(documents, "query_id", "left").select("query_id", "rank", "chunk_id", "score", "chunk_type", "context_window", "parent_context", "documents")

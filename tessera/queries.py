@@ -5,81 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import text as T
-from tessera.operators import records, search, structure
-from tessera.plans.retrieve import retrieve
+from tessera.catalog import checks, nodes, registry, retrieval, tables, texts  # noqa: F401  (they register their queries)
+from tessera.catalog import sqltext as S
+from tessera.catalog.registry import query
+from tessera.operators import records, search
 from tessera.sources.tables import table
 from tessera.streaming.runs import windowed
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES, ORACLE_SQL = registry.QUERIES, registry.ORACLE_SQL
 FLAGSHIP = "hybrid_retrieval"
 
-_TOK = "regexp_extract_all(lower(text), '[a-z0-9]+')"
-_VALUE = T.VALUE
-
-
-def query(sql: str | None = None):  # noqa: ANN201
-    def add(f):  # noqa: ANN001, ANN202
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-@query(f"SELECT doc_id, len({_TOK}) AS n_tokens, len(list_distinct({_TOK})) AS n_distinct FROM documents")
-def token_counts(spark: SparkSession, d: str) -> DataFrame:
-    words = T.tokens(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.size(words).alias("n_tokens"), F.size(F.array_distinct(words)).alias("n_distinct"))
-
-
-_LINES = "SELECT doc_id, generate_subscripts(l, 1) - 1 AS ordinal, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)"
-_KINDS = f"""SELECT doc_id, ordinal, line, CASE WHEN contains(line, '|') THEN 'table' WHEN regexp_matches(line, '^\\s*[-*•] ') THEN 'list'
-  WHEN regexp_matches(line, '^\\s*[0-9]+[.)] ') THEN 'step' WHEN regexp_matches(line, '^[A-Z][A-Za-z ]{{1,40}}: \\S') THEN 'spec'
-  WHEN len(regexp_extract_all(lower(line), '[a-z0-9]+')) <= 3 AND NOT regexp_matches(trim(line), '[,;]$') THEN 'heading' ELSE 'paragraph' END AS kind
-  FROM ({_LINES}) WHERE trim(line) <> ''"""
-
-
-@query(f"""WITH k AS ({_KINDS}) SELECT doc_id, ordinal, kind, line, last_value(CASE WHEN kind = 'heading' THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ordinal
-  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM k""")
-def blocks(spark: SparkSession, d: str) -> DataFrame:
-    return structure.blocks(table(spark, d, "documents")).select("doc_id", "ordinal", "kind", "line", "section")
-
-
-@query(f"""WITH l AS (SELECT doc_id, line, regexp_matches(lower(line), '{_VALUE}') AS v, len(regexp_extract_all(lower(line), '[a-z0-9]+')) AS n,
-  len(regexp_extract_all(line, '[0-9]')) AS dg, len(regexp_extract_all(line, '[A-Za-z]')) AS al FROM ({_LINES}) WHERE trim(line) <> '')
-  SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN regexp_matches(lower(line), '{T.URL}') OR regexp_matches(line, '{T.PHONE}') OR (n <= 2 AND NOT v) OR (dg >= al AND NOT v) THEN 1 ELSE 0 END) AS BIGINT) AS n_low
-  FROM l GROUP BY doc_id""")
-def low_information(spark: SparkSession, d: str) -> DataFrame:
-    lines = structure.blocks(table(spark, d, "documents"))
-    return lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(T.low_information(F.col("line")).cast("int")).alias("n_low"))
-
-
-_SCORE = f"""(CASE WHEN n >= 8 THEN 0.35 WHEN n >= 5 THEN 0.15 ELSE 0.0 END + CASE WHEN v THEN 0.35 ELSE 0.0 END + CASE WHEN regexp_matches(text, '[0-9]') THEN 0.1 ELSE 0.0 END
-  + CASE WHEN regexp_matches(text, '[.;:]') THEN 0.1 ELSE 0.0 END - CASE WHEN n <= 6 AND NOT v THEN 0.4 ELSE 0.0 END - CASE WHEN n <= 3 THEN 0.25 ELSE 0.0 END)"""
-_SAYS = f"SELECT doc_id, CAST({_SCORE} AS DOUBLE) AS says FROM (SELECT doc_id, text, len({_TOK}) AS n, regexp_matches(lower(text), '{_VALUE}') AS v FROM documents)"
-
-
-@query(f"SELECT doc_id, round(says, 4) AS says FROM ({_SAYS})")
-def completeness(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.round(T.completeness(F.col("text")), 4).alias("says"))
-
-
+_TOK = S.tokens("text")
 _BM25 = f"""q AS (SELECT item_id, token, count(*) AS qn FROM (SELECT item_id, unnest({_TOK}) AS token FROM benchmark) GROUP BY item_id, token),
-  w AS (SELECT doc_id, {_TOK} AS words FROM documents), n AS (SELECT count(*) AS n, avg(len(words)) AS mean FROM w),
+  w AS (SELECT * FROM (SELECT doc_id, {_TOK} AS words FROM documents) WHERE len(words) > 0), n AS (SELECT count(*) AS n, avg(len(words)) AS mean FROM w),
   tf AS (SELECT doc_id, dl, token, count(*) AS tf FROM (SELECT doc_id, len(words) AS dl, unnest(words) AS token FROM w) GROUP BY doc_id, dl, token),
   df AS (SELECT token, count(*) AS df FROM tf GROUP BY token),
   s AS (SELECT q.item_id, tf.doc_id, sum(q.qn * ln(1 + (n.n - df.df + 0.5) / (df.df + 0.5)) * tf.tf * 2.5 / (tf.tf + 1.5 * (0.25 + 0.75 * tf.dl / n.mean))) AS score
     FROM q JOIN tf ON q.token = tf.token JOIN df ON df.token = q.token, n GROUP BY q.item_id, tf.doc_id),
   bm AS (SELECT * FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM s) WHERE rank <= 40)"""
-_OVER = f"""o AS (SELECT a.item_id, b.doc_id, CAST(count(*) AS DOUBLE) AS score FROM (SELECT item_id, unnest(list_distinct({_TOK})) AS token FROM benchmark) a
-    JOIN (SELECT doc_id, unnest(list_distinct({_TOK})) AS token FROM documents) b ON a.token = b.token GROUP BY a.item_id, b.doc_id),
-  ov AS (SELECT * FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM o) WHERE rank <= 40)"""
-_RRF = """u AS (SELECT item_id, doc_id, rank FROM bm UNION ALL SELECT item_id, doc_id, rank FROM ov),
-  f AS (SELECT item_id, doc_id, sum(1.0 / (60 + rank)) AS score, count(*) AS n_lists FROM u GROUP BY item_id, doc_id),
-  r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM f)"""
 
 
 @query(f"WITH {_BM25} SELECT item_id, doc_id, round(score, 4) AS score, rank FROM bm")
@@ -87,19 +30,6 @@ def bm25_search(spark: SparkSession, d: str) -> DataFrame:
     return search.bm25(table(spark, d, "documents"), table(spark, d, "benchmark")).select("item_id", "doc_id", F.round("score", 4).alias("score"), "rank")
 
 
-@query(f"WITH {_BM25}, {_OVER}, {_RRF} SELECT item_id, doc_id, round(score, 6) AS score, n_lists, rank FROM r WHERE rank <= 12")
-def rank_fusion(spark: SparkSession, d: str) -> DataFrame:
-    docs, asked = table(spark, d, "documents"), table(spark, d, "benchmark")
-    fused = search.reciprocal_ranks([search.bm25(docs, asked), search.overlap(docs, asked)], "item_id", "doc_id")
-    return fused.select("item_id", "doc_id", F.round("score", 6).alias("score"), "n_lists", "rank")
-
-
-@query(f"""WITH {_BM25}, {_OVER}, {_RRF}, y AS ({_SAYS}), z AS (SELECT r.item_id, r.doc_id, r.score + 0.05 * y.says AS score FROM r JOIN y ON r.doc_id = y.doc_id WHERE r.rank <= 30),
-  t AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM z) SELECT item_id, doc_id, round(score, 6) AS score, rank FROM t WHERE rank <= 10""")
-def hybrid_retrieval(spark: SparkSession, d: str) -> DataFrame:
-    return retrieve(table(spark, d, "documents"), table(spark, d, "benchmark")).select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")
-
-
 @query("""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS score FROM embeddings q
   JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 100 = 0),
   t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, round(score, 4) AS score, rank FROM t WHERE rank <= 40""")
@@ -130,9 +60,9 @@ def correlated_counts(spark: SparkSession, d: str) -> DataFrame:
     return records.counted(table(spark, d, "customer").select("c_custkey", "c_name"), orders, ["c_custkey"], "n_orders")
 
 
-@query("SELECT c_custkey, c_mktsegment FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+@query("SELECT c_custkey, c_mktsegment FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P')")
 def unreferenced(spark: SparkSession, d: str) -> DataFrame:
-    orders = table(spark, d, "orders")
+    orders = table(spark, d, "orders").where("o_orderstatus = 'P'")
     customers = table(spark, d, "customer")
     return customers.join(orders, customers["c_custkey"] == orders["o_custkey"], "left_anti").select("c_custkey", "c_mktsegment")
 
@@ -173,9 +103,9 @@ def event_tail(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT user_id, max(event_id) AS last_id, count(*) AS n FROM events GROUP BY user_id HAVING max(ts) < (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE")
 def stale_runs(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "events")
-    now = events.agg(F.max("ts")).first()[0]
+    now = events.agg(F.max("ts").alias("now"))
     last = events.groupBy("user_id").agg(F.max("event_id").alias("last_id"), F.count("*").alias("n"), F.max("ts").alias("seen"))
-    return last.where(F.col("seen") < F.lit(now) - F.expr("interval 10 minutes")).select("user_id", "last_id", "n")
+    return last.join(F.broadcast(now), F.col("seen") < F.col("now") - F.expr("interval 10 minutes")).select("user_id", "last_id", "n")
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
@@ -198,7 +128,7 @@ def row_groups(spark: SparkSession, d: str) -> DataFrame:
   AND a.o_orderdate <= b.o_orderdate + INTERVAL 90 DAY AND b.o_orderdate <= a.o_orderdate + INTERVAL 90 DAY GROUP BY a.o_custkey""")
 def interval_overlaps(spark: SparkSession, d: str) -> DataFrame:
     spans = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.col("o_orderdate").alias("a"), (F.col("o_orderdate") + F.expr("interval 90 days")).alias("b"))
-    return records.overlapping(spans, "o_custkey", "o_orderkey", "a", "b").where("pairs > 0")
+    return records.overlapping(spans, "o_custkey", "a", "b").where("pairs > 0")
 
 
 @query("SELECT doc_id, unnest(generate_series(1, greatest(CAST(ceil(n_chars / 3000.0) AS BIGINT), 1))) AS page FROM documents")
