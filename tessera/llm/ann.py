@@ -9,10 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._common import written
+from tessera.llm._common import discard, written
 
 #: Nodes that one task compares or merges together.
 BLOCK = 512
+#: Nodes of the random blocks that first lists come from.
+FIRST = 128
 #: Nodes that every search may start from, beside the query's own neighbours: a fixed number.
 ENTRIES = 64
 #: Rounds after which a graph or a search that goes on is an error; no result is cut short.
@@ -36,22 +38,28 @@ def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0)
 
 
-def _lists(node: np.ndarray, ids: np.ndarray, ds: np.ndarray, k: int) -> pa.Table:
-    """(node, ids, ds) with each node's k nearest distinct others, nearest first, ties to the smaller id."""
-    order = np.lexsort((ds, ids, node))
-    node, ids, ds = node[order], ids[order], ds[order]
+def _lists(node: np.ndarray, ids: np.ndarray, ds: np.ndarray, k: int, age: np.ndarray | None = None) -> pa.Table:
+    """(node, ids, ds, age) with each node's k nearest distinct others, nearest first, ties to the smaller id.
+
+    age: FRESH for a neighbour that a round has found, WAITING for one that has not told of itself yet, else DONE.
+    """
+    age = np.full(len(node), FRESH, np.int8) if age is None else age
+    order = np.lexsort((ds, age, ids, node))
+    node, ids, ds, age = node[order], ids[order], ds[order], age[order]
     keep = (node != ids) & np.concatenate([[True], (node[1:] != node[:-1]) | (ids[1:] != ids[:-1])])
-    node, ids, ds = node[keep], ids[keep], ds[keep]
+    node, ids, ds, age = node[keep], ids[keep], ds[keep], age[keep]
     order = np.lexsort((ids, ds, node))
-    node, ids, ds = node[order], ids[order], ds[order]
+    node, ids, ds, age = node[order], ids[order], ds[order], age[order]
     names, first = np.unique(node, return_index=True)
     near = np.arange(len(node)) - np.repeat(first, np.diff(np.append(first, len(node)))) < k
-    node, ids, ds = node[near], ids[near], ds[near]
+    node, ids, ds, age = node[near], ids[near], ds[near], age[near]
     off = pa.array(np.append(np.searchsorted(node, names), len(node)).astype(np.int32))
-    return pa.table({"node": names, "ids": pa.ListArray.from_arrays(off, pa.array(ids)), "ds": pa.ListArray.from_arrays(off, pa.array(ds.astype(np.float32)))})
+    listed = {"ids": ids, "ds": ds.astype(np.float32), "age": age.astype(np.int8)}
+    return pa.table({"node": names} | {c: pa.ListArray.from_arrays(off, pa.array(v)) for c, v in listed.items()})
 
 
-_GRAPH = "node long, ids array<long>, ds array<float>"
+DONE, WAITING, FRESH = range(3)
+_GRAPH = "node long, ids array<long>, ds array<float>, age array<tinyint>"
 
 
 def classes(vectors: DataFrame, key: str, vector: str) -> tuple[DataFrame, DataFrame]:
@@ -80,15 +88,19 @@ class Graph:
             return
         self.coded = written(nodes.mapInArrow(_encode, "node long, code binary"), "codes")
         near = self._first(0)
-        for salt in range(1, starts if self.size > BLOCK else 1):
+        for salt in range(1, starts):
             near = near.unionByName(self._first(salt))
         links = written(self._merged(near), "graph")
-        changed = math.inf if self.size > BLOCK else 0
+        changed = math.inf
         while changed > settled * self.size * k:
             if self.rounds == GUARD:
                 raise RuntimeError("neighbour graph did not settle")
-            better = written(self._merged(links.unionByName(self._descend(links, sample, self.rounds))), "graph")
-            changed = better.select("node", F.explode("ids").alias("i")).join(links.select("node", F.explode("ids").alias("i")), ["node", "i"], "left_anti").count()
+            told = self._descend(links, sample, self.rounds)
+            # those that have told of themselves now need not do so again, but to new ones
+            rest = F.transform("age", lambda a, i: F.when(i < sample, DONE).otherwise(F.least(a, F.lit(WAITING))).cast("tinyint"))
+            better = written(self._merged(links.withColumn("age", rest).unionByName(told)), "graph")
+            changed = better.agg(F.sum(F.size(F.filter("age", lambda a: a == FRESH)))).first()[0] or 0
+            discard(links)
             links, self.rounds = better, self.rounds + 1
         self.links = links
 
@@ -109,7 +121,7 @@ class Graph:
             at = np.argpartition(d, m - 1, axis=1)[:, :m]
             return _lists(np.repeat(node, m), node[at].ravel(), np.take_along_axis(d, at, 1).ravel(), k)
 
-        dealt = self.coded.withColumn("block", F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(self._blocks(BLOCK))))
+        dealt = self.coded.withColumn("block", F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(self._blocks(FIRST))))
         return dealt.groupBy("block").applyInArrow(near, _GRAPH)
 
     def _merged(self, lists: DataFrame) -> DataFrame:
@@ -117,32 +129,40 @@ class Graph:
 
         def merge(part: pa.Table) -> pa.Table:
             ids = part.column("ids").combine_chunks()
-            return _lists(np.repeat(part.column("node").to_numpy(), ids.value_lengths().to_numpy()), ids.flatten().to_numpy(), part.column("ds").combine_chunks().flatten().to_numpy(), k)
+            flat = [part.column(c).combine_chunks().flatten().to_numpy() for c in ("ids", "ds", "age")]
+            return _lists(np.repeat(part.column("node").to_numpy(), ids.value_lengths().to_numpy()), flat[0], flat[1], k, flat[2])
 
         return lists.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(self._blocks(BLOCK)))).groupBy("part").applyInArrow(merge, _GRAPH)
 
     def _descend(self, links: DataFrame, sample: int, number: int, told: int = 8) -> DataFrame:
-        """Around every node, its neighbours and those it is a neighbour of tell each other how near they are."""
-        out = links.select(F.col("node").alias("v"), F.explode(F.slice("ids", 1, sample)).alias("u"))
+        """Around every node, its neighbours and those it is a neighbour of tell each other how near they are, but for two that have
+        met before: only nodes with a new one around them take part."""
+        near = F.arrays_zip(F.slice("ids", 1, sample).alias("u"), F.slice("age", 1, sample).alias("age"))
+        out = links.select(F.col("node").alias("v"), F.inline(near)).select("v", "u", (F.col("age") != DONE).alias("new"))
         # a node that is everyone's neighbour keeps a sample of them, another one each round
         some = Window.partitionBy("u").orderBy(F.xxhash64("v", "u", F.lit(number)))
-        back = out.withColumn("r", F.row_number().over(some)).where(F.col("r") <= sample).select(F.col("u").alias("v"), F.col("v").alias("u"))
-        around = out.unionByName(back).distinct().join(self.coded.withColumnRenamed("node", "u"), "u")
+        back = out.withColumn("r", F.row_number().over(some)).where(F.col("r") <= sample).select(F.col("u").alias("v"), F.col("v").alias("u"), "new")
+        both = out.unionByName(back).groupBy("v", "u").agg(F.max("new").alias("new"))
+        busy = both.withColumn("any", F.max("new").over(Window.partitionBy("v"))).where("any").drop("any")
+        around = busy.join(self.coded.withColumnRenamed("node", "u"), "u")
 
         def tell(part: pa.Table) -> pa.Table:
             part = part.sort_by([("v", "ascending"), ("u", "ascending")])
-            v, u, x = part.column("v").to_numpy(), part.column("u").to_numpy(), _coded(part.column("code"))
+            v, u, new, x = part.column("v").to_numpy(), part.column("u").to_numpy(), part.column("new").to_numpy(), _coded(part.column("code"))
             edge = np.append(np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])), len(v))
             nodes, ids, ds = [], [], []
             for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                 d = _squares(x[a:b], x[a:b])
                 np.fill_diagonal(d, np.inf)
+                d[~(new[a:b, None] | new[None, a:b])] = np.inf
                 m = min(told, b - a - 1)
                 if m > 0:
                     at = np.argpartition(d, m - 1, axis=1)[:, :m]
-                    nodes.append(np.repeat(u[a:b], m))
-                    ids.append(u[a:b][at].ravel())
-                    ds.append(np.take_along_axis(d, at, 1).ravel())
+                    far = np.take_along_axis(d, at, 1).ravel()
+                    met = np.isfinite(far)
+                    nodes.append(np.repeat(u[a:b], m)[met])
+                    ids.append(u[a:b][at].ravel()[met])
+                    ds.append(far[met])
             if not nodes:
                 return _lists(v[:0], v[:0], x[:0].ravel()[:0], told)
             # what a task tells of one node goes on as one list
@@ -157,7 +177,7 @@ class Graph:
         rest = out.withColumn("r", F.row_number().over(some)).where(F.col("r") <= back).select(F.col("to").alias("node"), F.col("node").alias("to"))
         return written(out.unionByName(rest).groupBy("node").agg(F.collect_set("to").alias("near")), "neighbours")
 
-    def search(self, queries: DataFrame, pool: int = 512, step: int = 128) -> DataFrame:
+    def search(self, queries: DataFrame, pool: int = 256, step: int = 128) -> DataFrame:
         """(query, ids, ds) for queries (query: the node of its vector, vec): the pool nearest nodes found, by exact distance.
 
         A greedy search keeps each query's pool of nearest nodes seen and always asks the neighbours of the nearest step
