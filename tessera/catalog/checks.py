@@ -164,7 +164,7 @@ def prioritised_evidence(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {PAIRS}, an AS (SELECT query_id, '[' || CAST(chunk_id AS STRING) || '] ' || substr(evidence, 1, 700) AS answer FROM z WHERE place = 1), th AS (SELECT DISTINCT query_id, unnest({_TERMS("content || ' ' || section || ' ' || title")}) AS term FROM y WHERE rank <= 5),
-  at AS (SELECT query_id, answer, {_TERMS('answer')} AS terms FROM an) SELECT query_id, answer, len(terms) > 0 AND (SELECT count(*) FROM th WHERE th.query_id = at.query_id AND list_contains(at.terms, th.term)) >= CASE WHEN len(terms) <= 3 THEN 1 ELSE greatest(2, least(5, floor(len(terms) / 4))) END AS supported FROM at""")
+  aq AS (SELECT query_id, answer, {_TERMS('answer')} AS terms FROM an) SELECT query_id, answer, len(terms) > 0 AND (SELECT count(*) FROM th WHERE th.query_id = aq.query_id AND list_contains(aq.terms, th.term)) >= CASE WHEN len(terms) <= 3 THEN 1 ELSE greatest(2, least(5, floor(len(terms) / 4))) END AS supported FROM aq""")
 def supported_answers(spark: SparkSession, d: str) -> DataFrame:
     hits = _pairs(spark, d)
     return A.supported(A.plain_answers(A.prioritised(hits)), hits).select("query_id", "answer", "supported")

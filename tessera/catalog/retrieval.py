@@ -12,6 +12,7 @@ from tessera.operators import questions as Q
 from tessera.operators import retrieval as R
 from tessera.plans import retrieve as plan
 from tessera.sources import library
+from tessera.sources.interim import written
 
 _HIT = {name: S.contains_any("low", words) for name, (words, _) in Q.TYPES.items()}
 _TYPE_LIST = "[" + ", ".join(f"CASE WHEN {hit} THEN '{name}' END" for name, hit in _HIT.items()) + "]"
@@ -133,9 +134,9 @@ FUSED = f"{SEARCHES}, {_fusion('ft', _TABLE_LISTS, 40)}, {_fusion('fu', _LISTS,
 
 @query(f"WITH {SEARCHES} SELECT query_id, scope, chunk_id, round(score, 6) AS score, rank FROM lx")
 def lexical_search(spark: SparkSession, d: str) -> DataFrame:
-    chunks, analysis = library.chunks(spark, d), _analysis(spark, d)
+    chunks, analysis = library.chunks(spark, d), written(_analysis(spark, d), "questions")
     found, wanted = plan.scopes(chunks, analysis)
-    return R.lexical(found, wanted, chunks).select("query_id", "scope", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    return R.lexical(found, written(wanted, "asked"), chunks).select("query_id", "scope", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"WITH {SEARCHES} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM hd")
@@ -149,7 +150,7 @@ def rank_fusion(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pool(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    chunks, analysis = library.chunks(spark, d), _analysis(spark, d)
+    chunks, analysis = library.chunks(spark, d), written(_analysis(spark, d), "questions")
     return R.fused(plan.candidates(chunks, analysis)), chunks, analysis
 
 

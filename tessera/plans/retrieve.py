@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import questions as Q
 from tessera.operators import retrieval as R
+from tessera.sources.interim import written
 
 
 def scopes(chunks: DataFrame, analysis: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -16,8 +17,8 @@ def scopes(chunks: DataFrame, analysis: DataFrame) -> tuple[DataFrame, DataFrame
     every = plain.unionByName(named.select("scope", "chunk_types", "version_signal").distinct())
     asked = analysis.select("query_id", "query")
     wanted = asked.withColumn("scope", F.explode(F.array(F.lit("all"), F.lit("table")))).select("query_id", "scope", "query")
-    # read by several counts, and kept so that chunks are tokenised once
-    return R.scoped(R.postings(chunks), every).persist(), wanted.unionByName(named.select("query_id", "scope").join(asked, "query_id").select("query_id", "scope", "query"))
+    # a table of postings: chunks are tokenised once
+    return written(R.scoped(R.postings(chunks), every), "postings"), wanted.unionByName(named.select("query_id", "scope").join(asked, "query_id").select("query_id", "scope", "query"))
 
 
 def candidates(chunks: DataFrame, analysis: DataFrame, limit: int = 40) -> list[DataFrame]:
@@ -27,8 +28,7 @@ def candidates(chunks: DataFrame, analysis: DataFrame, limit: int = 40) -> list[
     """
     asked = analysis.select("query_id", "query")
     found, wanted = scopes(chunks, analysis)
-    # three lists read these hits: some for each question and scope, kept so that they are searched once
-    words = R.lexical(found, wanted, chunks, limit).persist()
+    words = written(R.lexical(found, written(wanted, "asked"), chunks, limit), "hits")
     tables = R.hashed(chunks.where("chunk_type = 'table_record'"), asked, limit)
     return [R.hashed(chunks, asked, limit), words.where("scope = 'all'"), R.fused([tables, words.where("scope = 'table'")], limit), words.where("scope not in ('all', 'table')")]
 
@@ -36,6 +36,7 @@ def candidates(chunks: DataFrame, analysis: DataFrame, limit: int = 40) -> list[
 def told(pool: DataFrame, chunks: DataFrame, analysis: DataFrame) -> DataFrame:
     """Hits with the columns of their chunk and what is known of their question."""
     known = analysis.select("query_id", "query_types", "query_terms", "latest_only")
+    pool = written(pool, "pool")
     return pool.select("query_id", "chunk_id", "score", "rank").join(chunks, "chunk_id").join(known, "query_id")
 
 
@@ -45,7 +46,7 @@ def retrieve(chunks: DataFrame, questions: DataFrame, limit: int = 10) -> DataFr
     documents are those that the question's metadata search names; they do not narrow the search where scores are equal across
     documents, as here. Chunks' and questions' columns: see retrieval and questions.
     """
-    analysis = Q.analysed(questions)
+    analysis = written(Q.analysed(questions), "questions")
     pool = told(R.fused(candidates(chunks, analysis)), chunks, analysis)
     chosen = R.family_selected(R.aligned(R.completed(R.family_scored(pool))))
     final = R.assembled(R.deduplicated(R.reranked(R.enriched(chosen, chunks))), chunks, limit)
