@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
 import gc
 import math
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,66 +13,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.interim import discard, shared_folder, written  # noqa: F401  (operators take them from here)
+
 #: Text bytes that a Python step looks at together; whole texts only, so one long text may exceed it. A step needs up to
 #: fifty times its slice, so a worker's memory follows the longest text.
 SLICE_BYTES = 256_000
 #: Bits of a filter of names that goes to executors: its size is fixed, what passes wrongly drops out later.
 FILTER_BITS = 1 << 23
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir. In local mode, where driver and tasks share a disk, a folder of our own if that is unset."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not conf:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        if "folder" not in _OWN:
-            _OWN["folder"] = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        conf = _OWN["folder"]
-    return conf
-
-
-_OWN: dict[str, str] = {}
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a parquet table in the shared folder: lineage ends here and lost executors cost nothing before it.
-
-    Shuffle files of this write go with it. A table stays until the application ends or discard() removes it, as lazy results
-    may still read it.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
-    atexit.register(_remove, spark, path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._written = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Removes written tables that nothing reads any more."""
-    for t in tables:
-        _remove(t.sparkSession, t._written)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def bit_filter(names: DataFrame, column: str) -> np.ndarray:
     """A filter over a column of 64-bit names; executors add bits up, and at most FILTER_BITS / 64 rows reach the driver."""
     slots = names.select(F.col(column).bitwiseAND(F.lit(FILTER_BITS - 1)).alias("slot"))

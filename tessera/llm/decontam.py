@@ -46,7 +46,7 @@ class Index:
     Postings are kept for the terms that searches start from: the depth rarest of each window, by their counts over all rows.
     """
 
-    def __init__(self, docs: DataFrame, items: DataFrame, key: str, text: str, item: str, window: int, depth: int):
+    def __init__(self, docs: DataFrame, items: DataFrame, key: str, text: str, item: str, window: int, depth: int, near: bool = False):
         self.window, self.depth = window, depth
         self.rows = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("_a", F.xxhash64("_key", "text")).withColumn("_b", F.xxhash64("text", F.lit(1), "_key"))
         self.items, words = item_windows(items, window, item)
@@ -57,7 +57,14 @@ class Index:
         # a window with a word that no row has cannot occur
         chosen = weighed.join(lengths, ["item", "start"]).where("present = size").select("item", "start", "size", F.slice("terms", 1, depth).alias("terms"))
         self.searches = written(chosen, "searches")
-        self.postings = self._post(self.searches.select(F.explode("terms.term").alias("term")).distinct())
+        wanted = self.searches.select(F.explode("terms.term").alias("term"))
+        if near:
+            # the rarest different words of each window, whether or not rows have all its words
+            rare = F.slice(F.array_sort(F.array_distinct(F.transform("terms", lambda t: F.struct(t["n"].alias("n"), t["term"].alias("term"))))), 1, depth)
+            told = weighed.join(lengths, ["item", "start"]).select("item", "start", "size", rare.alias("terms"))
+            self.near = written(told.where("size(terms) > 1"), "near")
+            wanted = wanted.unionByName(self.near.select(F.explode("terms.term").alias("term")))
+        self.postings = self._post(wanted.distinct())
 
     def _count(self, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
         bits = self.rows.sparkSession.sparkContext.broadcast(bit_filter(terms, "term"))
@@ -154,26 +161,44 @@ class Index:
 
         return texts.mapInArrow(verify, "_a long, _b long, n_hit long, items array<string>").where("n_hit > 0").dropDuplicates(["_a", "_b"])
 
-    def proximity(self, slack: int = 13) -> DataFrame:
-        """(row key, item_id, start) of windows whose two rarest terms stand within size + slack words of each other, in any order."""
-        s = self.searches.where(F.size("terms") > 1).select("item", "start", F.get("terms", F.lit(0))["term"].alias("t0"), F.get("terms", F.lit(1))["term"].alias("t1"), (F.col("size") + slack).alias("reach"))
-        reach = self.window + slack
-        left = self.postings.select("_a", "_b", F.col("term").alias("t0"), F.col("pos").alias("p0")).join(s, "t0").withColumn("cell", F.explode(F.array(*((F.floor(F.col("p0") / reach) + d).cast("int") for d in (-1, 0, 1)))))
-        right = self.postings.select("_a", "_b", F.col("term").alias("t1"), F.col("pos").alias("p1"), F.floor(F.col("pos") / reach).cast("int").alias("cell"))
-        near = left.join(right, ["_a", "_b", "t1", "cell"]).where("abs(p0 - p1) < reach and (t0 <> t1 or p0 <> p1)").select("_a", "_b", "item", "start").distinct()
-        return near.join(self.items.select("item", "item_id"), "item").join(self.sizes.select("_key", "_a", "_b"), ["_a", "_b"]).select("_key", "item_id", "start")
+    def proximity(self, slack: int) -> DataFrame:
+        """(_a, _b, near): the sorted ids of items with a window whose rarest words, depth of them, stand together in the row.
+
+        Each of the others must stand within size + slack words of one and the same place of the rarest one, in any order.
+        """
+        term = lambda k: F.get("terms", F.lit(k))["term"]
+        windows = self.near.select("item", "size", *(term(k).alias(f"t{k}") for k in range(self.depth))).distinct()
+        cell = self.window + slack
+        found = self.postings.withColumnRenamed("term", "t0").join(windows, "t0").withColumn("reach", F.col("size") + slack)
+        for k in range(1, self.depth):
+            other = self.postings.select("_a", "_b", F.col("term").alias(f"t{k}"), F.col("pos").alias("other"), F.floor(F.col("pos") / cell).alias("cell"))
+            # a place is looked for in its own cell and those beside it
+            spread = found.where(F.col(f"t{k}").isNotNull()).withColumn("cell", F.explode(F.array(*(F.floor(F.col("pos") / cell) + d for d in (-1, 0, 1)))))
+            on = [spread[c] == other[c] for c in ("_a", "_b", f"t{k}", "cell")] + [F.abs(spread["pos"] - other["other"]) < spread["reach"]]
+            kept = spread.join(other, on, "left_semi").drop("cell").distinct()
+            found = kept.unionByName(found.where(F.col(f"t{k}").isNull()))
+        return found.select("_a", "_b", "item").distinct().join(self.items.select("item", "item_id"), "item").groupBy("_a", "_b").agg(F.array_sort(F.collect_set("item_id")).alias("near"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", window: int = 13, depth: int = 3) -> DataFrame:
-    """(key, n_words, n_hit, n_items, items, contaminated) for every row of docs.
+def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", window: int = 13, depth: int = 3, slack: int | None = None) -> DataFrame:
+    """(key, n_words, n_hit, n_items, items, contaminated[, near]) for every row of docs.
 
     A window is window consecutive words of an item, or all of a shorter item. Words inside any occurrence of a window are
     hit; contaminated: some are, and they make at least a twentieth of the row's words. Null texts have no words and no hits;
     items without words never match; a null item id reads as the empty string; null and repeated keys keep their rows, equal
-    rows the same result. Empty tables give empty or unhit rows. Other columns are not looked at.
+    rows the same result. Empty tables give empty or unhit rows. Other columns are not looked at. Texts are taken in slices of
+    whole texts: a worker's memory follows the longest text.
+
+    With slack, near has the ids of items of which a window is near in the row: its rarest words by the counts of docs, depth
+    of them and two at least, each within the window's words + slack of the rarest one, whatever stands between and in any
+    order. Items with exact matches of several different words are among them. Ties of counts go to the smaller hash.
     """
-    index = Index(docs, items, key, text, item, window, depth)
+    index = Index(docs, items, key, text, item, window, depth, slack is not None)
     out = index.sizes.join(index.phrases(), ["_a", "_b"], "left")
+    if slack is not None:
+        out = out.join(index.proximity(slack), ["_a", "_b"], "left")
     hit = F.coalesce("n_hit", F.lit(0))
-    found = F.coalesce("items", F.array().cast("array<string>"))
-    return out.select(F.col("_key").alias(key), "n_words", hit.cast("long").alias("n_hit"), F.size(found).cast("long").alias("n_items"), found.alias("items"), ((hit > 0) & (20 * hit >= F.col("n_words"))).alias("contaminated"))
+    none = F.array().cast("array<string>")
+    found = F.coalesce("items", none)
+    near = [] if slack is None else [F.coalesce("near", none).alias("near")]
+    return out.select(F.col("_key").alias(key), "n_words", hit.cast("long").alias("n_hit"), F.size(found).cast("long").alias("n_items"), found.alias("items"), ((hit > 0) & (20 * hit >= F.col("n_words"))).alias("contaminated"), *near)

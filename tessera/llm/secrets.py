@@ -56,6 +56,7 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rule_version: str = R
     paths = written(rows.select("_key", F.sha2(F.col("_text"), 256).alias("sha")), "paths")
     blobs = paths.groupBy("sha").agg(F.min("_key").alias("_first"))
     if ledger is not None:
+        ledger = ledger.dropDuplicates(["sha", "rule_version"])
         blobs = blobs.join(ledger.where(F.col("rule_version") == rule_version).select("sha"), "sha", "left_anti")
     addressed = rows.withColumn("sha", F.sha2(F.col("_text"), 256))
     # one row of each unseen blob: that with the least key; the texts stream past the narrow side
@@ -69,6 +70,23 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rule_version: str = R
     return joined.select(F.col("_key").alias(key), "sha", F.coalesce("spans", F.array().cast(SPANS)).alias("spans")), known
 
 
+def scan_history(versions: DataFrame, place: str, rule_version: str = RULES_VERSION, text: str = "text", path: str = "path", version: str = "version") -> DataFrame:
+    """(path, version, sha, spans) of every historical version of every path, over a ledger that is kept at place.
+
+    The ledger there, if there is one, tells which blobs these rules have seen; only the others are scanned, and what is
+    found is added to it. A run that dies before that leaves the ledger as it was; one that is repeated adds nothing.
+    """
+    spark = versions.sparkSession
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    there = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+    ledger = spark.read.schema(LEDGER_SCHEMA).parquet(place) if there else None
+    told = versions.select(F.struct(F.col(path).alias("path"), F.col(version).alias("version")).alias("_at"), F.col(text).alias("text"))
+    found, known = scan(told, ledger, rule_version, "text", "_at")
+    fresh = known if ledger is None else known.join(ledger.select("sha", "rule_version").distinct(), ["sha", "rule_version"], "left_anti")
+    fresh.select("sha", "rule_version", "spans").write.mode("append").parquet(place)
+    return found.select(F.col("_at.path").alias(path), F.col("_at.version").alias(version), "sha", "spans")
+
+
 def _joined(spans: Column) -> Column:
     names = F.array(*(F.lit(r[0]) for r in RULES))
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["finish"].cast("string"))), ",")

@@ -41,13 +41,15 @@ def shard_of(key: Column, shards: int) -> Column:
 def shard(docs: DataFrame, key: str = "doc_id", shards: int = 8, text: str = "text", per_bucket: int = 4_000) -> DataFrame:
     """Deals every row to a shard: (key, size, text_crc32, law, shard, slot, grown_shard).
 
-    The key and the number of shards alone decide; grown_shard is the place with one shard more. size is the text's UTF-8
+    The key (whole numbers, or anything else by its hash) and the number of shards alone decide; grown_shard is the place with one shard more. size is the text's UTF-8
     bytes plus 1; a null text counts as empty; a null key goes where all null keys go. Rows with the same key share a
     shard but have slots of their own. slot runs from 0 without gaps in a shard. An empty table gives an empty table;
     other columns are not looked at.
     """
-    body = docs.select(F.col(key).cast("long").alias(key), text_or_empty(text).alias("_text"))
-    narrow = body.select(key, (F.octet_length("_text").cast("long") + 1).alias("size"), F.crc32(F.col("_text").cast("binary")).alias("text_crc32"), F.lit("key").alias("law"))
-    placed = written(narrow.withColumn("shard", shard_of(F.col(key), shards)).withColumn("grown_shard", shard_of(F.col(key), shards + 1)), "shards")
+    whole = dict(docs.dtypes)[key] in ("tinyint", "smallint", "int", "bigint")
+    body = docs.select((F.col(key).cast("long") if whole else F.col(key)).alias(key), text_or_empty(text).alias("_text"))
+    stable = F.col(key) if whole else F.when(F.col(key).isNotNull(), F.xxhash64(F.col(key)))
+    narrow = body.select(key, stable.alias("_stable"), (F.octet_length("_text").cast("long") + 1).alias("size"), F.crc32(F.col("_text").cast("binary")).alias("text_crc32"), F.lit("key").alias("law"))
+    placed = written(narrow.withColumn("shard", shard_of(F.col("_stable"), shards)).withColumn("grown_shard", shard_of(F.col("_stable"), shards + 1)).drop("_stable"), "shards")
     ranked = gapless_rank(placed, ["shard"], [key, "text_crc32", "size"], "slot", placed.count(), per_bucket)
     return ranked.select(key, "size", "text_crc32", "law", "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")

@@ -1,0 +1,295 @@
+"""Decontamination, sharding, languages, secrets, neighbours and the pipeline against plain programs on small tables."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.llm import _common, ann, decontam, jaccard, langid, secrets, shards
+
+WORDS = "the of and pump valve press heat flow unit line code check open close turn left right part number one two".split()
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def words_of(text):
+    return re.findall("[a-z0-9\x80-\U0010ffff]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+
+
+def hits_of(text, items, window=13):
+    own = words_of(text)
+    hit, names = set(), set()
+    for name, item in items:
+        words = words_of(item)
+        size = min(window, len(words))
+        for i in range(len(words) - size + 1 if words else 0):
+            for at in range(len(own) - size + 1):
+                if own[at : at + size] == words[i : i + size]:
+                    hit |= set(range(at, at + size))
+                    names.add(str(name) if name is not None else "")
+    return len(own), len(hit), sorted(names)
+
+
+def near_of(texts, items, slack, window=13, depth=3):
+    """For each text the items with a window whose rarest words stand near each other there."""
+    hashed = {w: i for w, i in zip(*_hashes({w for t in texts for w in words_of(t)} | {w for _, t in items for w in words_of(t)}), strict=True)}
+    counts = Counter(w for t in texts for w in words_of(t))
+    out = [set() for _ in texts]
+    for name, item in items:
+        words = words_of(item)
+        size = min(window, len(words))
+        for i in range(len(words) - size + 1 if words else 0):
+            rare = sorted({(counts[w], hashed[w], w) for w in words[i : i + size] if counts[w]})[:depth]
+            if len(rare) < 2:
+                continue
+            for k, text in enumerate(texts):
+                own = words_of(text)
+                for at in (p for p, w in enumerate(own) if w == rare[0][2]):
+                    if all(any(w == x[2] and abs(p - at) < size + slack for p, w in enumerate(own)) for x in rare[1:]):
+                        out[k].add(str(name) if name is not None else "")
+    return [sorted(x) for x in out]
+
+
+def _hashes(words):
+    import pyarrow as pa
+
+    words = sorted(words)
+    return words, decontam._terms(pa.array(words))[0].tolist()
+
+
+def test_decontamination_and_proximity(spark):
+    rng = np.random.default_rng(11)
+    prose = lambda n, extra=(): " ".join(rng.choice([*WORDS, *extra], n))
+    items = [(1, prose(30, ["zeta", "kappa"])), (2, "One two, THREE!"), (3, None), (4, "no such words anywhere"), (2, "pump"), (None, prose(13)), (5, prose(14)), (5, prose(14)), (6, "")]
+    texts = [None, "", "...", items[0][1], prose(50) + " " + items[0][1] + " " + prose(300), " ".join(items[6][1].split()[:13]), "kappa left right zeta " + prose(5), "PUMP pump", items[5][1] + " x " + items[5][1], prose(2500), prose(12, ["zeta"])]
+    rows = [(i, t, 1, "x") for i, t in enumerate(texts)] + [(3, texts[3], 1, "x"), (None, texts[4], 1, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_words int, near string")
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, tuple(r["items"]), r.contaminated, tuple(r.near)) for r in decontam.decontaminate(docs, table, slack=4).collect())
+    want = Counter()
+    for (doc, text, *_), near in zip(rows, near_of([r[1] for r in rows], items, 4), strict=True):
+        n, hit, names = hits_of(text, items)
+        want[(doc, n, hit, len(names), tuple(names), hit > 0 and 20 * hit >= n, tuple(near))] += 1
+    assert got == want
+    assert any(x[-1] for x in want) and any(x[5] for x in want)
+
+
+def jump(key, shards_):
+    b, j = -1, 0
+    while j < shards_:
+        b = j
+        key = (key * 2862933555777941757 + 1) & ((1 << 64) - 1)
+        j = int((b + 1) * (float(1 << 31) / float((key >> 33) + 1)))
+    return b
+
+
+def test_jump_hash_is_that_of_the_scalar_program(spark):
+    keys = [0, 1, 2, 99, 2**63, 2**64 - 1, *np.random.default_rng(3).integers(0, 2**63, 500).tolist()]
+    for n in (1, 2, 8, 9, 100):
+        assert shards.jump_hash(np.array(keys, np.uint64), n).tolist() == [jump(k, n) for k in keys]
+    rows = spark.createDataFrame([("a", "x"), ("b", "y"), ("a", "x"), (None, None)], "doc_id string, text string").withColumn("shard", F.lit("clash"))
+    got = shards.shard(rows).toPandas()
+    assert got[got.doc_id == "a"].shard.nunique() == 1 and all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
+    assert sorted(got["size"]) == [1, 2, 2, 2] and got.text_crc32[got.doc_id == "b"].item() == zlib.crc32(b"y")
+
+
+def slots_of(word):
+    spaced, out = b" " + word + b" ", []
+    for n in langid.GRAMS:
+        for i in range(len(spaced) - n + 1):
+            gram, code = spaced[i : i + n], 0
+            if n == 1 and gram == b" ":
+                continue
+            for c in gram:
+                code = (code * 257 + c + 1) & ((1 << 64) - 1)
+            out.append((((code + n) * 0x9E3779B97F4A7C15) & ((1 << 64) - 1)) >> 49)
+    return out
+
+
+def letters_of(text):
+    return re.findall(b"[a-z\x80-\xff]+", (text or "").encode().translate(bytes(c + 32 if 65 <= c < 91 else c for c in range(256))))
+
+
+def mixture(logs, text, penalty=2.0):
+    """Proportions of the languages by plain expectation-maximisation, sets tried up to all languages."""
+    scores = np.array([[sum(row[s] for s in slots_of(w)) / math.sqrt(len(slots_of(w))) for row in logs] for w in letters_of(text)])
+    odds = np.exp(scores - scores.max(1, keepdims=True))
+
+    def fit(odds, share, times):
+        for _ in range(times):
+            joint = odds * share
+            share = (joint / joint.sum(1, keepdims=True)).mean(0)
+        return share, np.log((odds * share).sum(1)).sum()
+
+    whole, _ = fit(odds, np.full(len(logs), 1 / len(logs)), 8)
+    order, best, out = np.argsort(-whole, kind="stable"), -np.inf, None
+    for k in range(1, len(logs) + 1):
+        named = order[:k]
+        start = np.maximum(whole[named], 1e-6)
+        share, score = fit(odds[:, named], start / start.sum(), 0 if k == 1 else 3)
+        score -= (k - 1) * penalty * math.log(len(odds) + 1)
+        if score > best:
+            best, out = score, np.zeros(len(logs))
+            out[named] = share
+    return out
+
+
+def test_languages_are_those_of_plain_expectation_maximisation(spark):
+    rng = np.random.default_rng(2)
+    known = {"en": "the of and to in that is was for with".split(), "de": "der die und das nicht sich mit auch eine für".split(), "fr": "le la les des une est que dans pour être".split()}
+    text = lambda *langs: " ".join(" ".join(rng.choice(known[x], 12)) for x in langs)
+    rows = [(i, text(x), x, "clash") for i in range(60) for x in [list(known)[i % 3]]]
+    asked = [(100 + i, text(*x), None, "clash") for i, x in enumerate([("en",), ("de", "fr"), ("fr", "en", "de"), ("en", "en", "de"), ("fr", "fr", "fr", "fr", "en")])]
+    odd = [(200, None, "en", "x"), (201, "123 !", "en", "x"), (202, "×÷", None, "x"), (203, text("de") + " " + text("en") * 400, None, "x"), (100, asked[0][1], None, "x")]
+    table = spark.createDataFrame(rows + asked + odd, "doc_id long, text string, lang string, lang_pred string")
+    model = langid.learn(table.where("doc_id < 60"))
+    counts = {x: np.zeros(langid.SLOTS) for x in sorted(known)}
+    for _, t, x, _ in rows:
+        for w in letters_of(t):
+            for s in slots_of(w):
+                counts[x][s] += 1
+    logs = [np.log((c + 0.5) / (c.sum() + 0.5 * langid.SLOTS)) for c in counts.values()]
+    assert model.languages == sorted(known) and np.allclose(model.logs, logs, atol=1e-4)
+    found = langid.identify(table, model).collect()
+    assert len(found) == len(rows + asked + odd)
+    for r in found:
+        if r.text is None or not any(map(str.isalpha, r.text)):
+            assert (r.lang_pred, r.score, set(r.lang_mix)) == ("und", 0.0, {0.0})
+            continue
+        want = mixture(logs, r.text)
+        assert np.allclose(r.lang_mix, want, atol=1e-3) and r.lang_pred == sorted(known)[int(np.argmax(want))] and abs(r.score - want.max()) < 1e-3, r
+    assert langid.identify(table.limit(0), model).count() == 0
+
+
+def test_equal_languages_tie_to_the_one_that_sorts_first(spark):
+    rows = spark.createDataFrame([(1, "same words here", "xx"), (2, "same words here", "aa"), (3, "same words", None)], "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in langid.identify(rows, langid.learn(rows)).collect()} == {"aa"}
+
+
+def test_further_kinds_of_secrets(spark):
+    text = "é -----BEGIN RSA PRIVATE KEY----- eyJhbGciOiJI.eyJzdWIiOiIx.c2lnbmF0dXJl and ghp_" + "a1" * 18
+    got = secrets.digest(secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"))[0]).first()
+    spans = [x.split(":") for x in got.spans.split(",")]
+    assert {(k, text[int(a) : int(b)]) for k, a, b in spans} == {("pem", "-----BEGIN RSA PRIVATE KEY-----"), ("jwt", "eyJhbGciOiJI.eyJzdWIiOiIx.c2lnbmF0dXJl"), ("forge", "ghp_" + "aZ" * 18)}
+    assert got.n_assign == got.n_access == got.n_hex == 0 and got.base_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def test_history_scans_only_unseen_blobs(spark, tmp_path):
+    one = [("a", 1, "token = abcdef1"), ("b", 1, "clean"), ("c", 1, None)]
+    two = [*one, ("a", 2, "clean"), ("d", 2, "token = abcdef1"), ("e", 2, "secret: zyxwvu9"), ("b", 1, "clean")]
+    table = lambda rows: spark.createDataFrame(rows, "path string, version long, text string")
+    place = f"{tmp_path}/ledger"
+    secrets.scan_history(table(one), place)
+    first = {(r.sha, r.rule_version) for r in spark.read.parquet(place).collect()}
+    found = secrets.scan_history(table(two), place)
+    assert Counter((r.path, r.version, len(r.spans)) for r in found.collect()) == Counter((p, v, int("=" in (t or "") or ":" in (t or ""))) for p, v, t in two)
+    rows = [(r.sha, r.rule_version) for r in spark.read.parquet(place).collect()]
+    assert len(rows) == len(set(rows)) == 4 and first < set(rows) and len(first) == 3
+    secrets.scan_history(table(two), place)
+    assert spark.read.parquet(place).count() == 4
+    secrets.scan_history(table(two), place, rule_version="2")
+    assert spark.read.parquet(place).count() == 8
+    # a ledger with repeated rows multiplies nothing
+    twice = spark.read.parquet(place).unionByName(spark.read.parquet(place))
+    assert secrets.scan(table(two).withColumnRenamed("path", "doc_id"), twice)[0].count() == len(two)
+
+
+def test_small_tables_go_through_the_same_rounds(spark):
+    x = np.random.default_rng(4).normal(size=(300, 8))
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node long, vec array<double>")
+    assert ann.Graph(nodes).rounds > 1
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error(monkeypatch):
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getConf(self):  # noqa: N802
+            return {}
+
+    class Session:
+        sparkContext, conf = Context(), {}  # noqa: N815
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        _common.shared_folder(Session())
+
+
+def test_hot_tokens_are_dealt_and_links_stay(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "HOT", 4)
+    monkeypatch.setattr(jaccard, "COUNTED", 1)
+    rng = np.random.default_rng(1)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(40):
+        own = list(base)
+        own[int(rng.integers(60))] = f"x{i}"
+        rows.append((i + 100, " ".join(own)))
+    rows += [(i, " ".join(rng.choice(WORDS, 60))) for i in range(20)]
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {i: {tuple(w[k : k + 4]) for k in range(len(w) - 3)} for i, t in rows for w in [t.split()]}
+    part = {i: i for i, _ in rows}
+    for i in sets:
+        for j in sets:
+            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]) and part[i] != part[j]:
+                low, high = sorted((part[i], part[j]))
+                part = {k: low if v == high else v for k, v in part.items()}
+    assert got == part
+
+
+def shingles(text):
+    w = re.findall("[^\x20\x09-\x0d]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+    return {tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if w else set()
+
+
+def test_pipeline_is_that_of_plain_programs(spark, tmp_path):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(7)
+    prose = lambda n: " ".join(rng.choice(WORDS, n))
+    base, dirty = prose(60).split(), " ".join(f"bench{i}" for i in range(20))
+    near = [" ".join([*base[:20], f"x{k}", *base[21:]]) for k in range(4)]
+    texts = [*[prose(int(n)) + f" unique{i}" for i, n in enumerate(rng.integers(5, 80, 12))], " ".join(base), *near, dirty, prose(400) + " " + dirty, "123 !", None, "", "token = abcdef123 " + prose(30), "token = abcdef123 " + prose(31) + " AKIA" + "Z" * 20, prose(6000)]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, SCHEMA).withColumn("piece", F.lit(1)).coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, dirty), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = {i: t for i, t, *_ in rows if t and any(map(str.isalpha, t))}
+    part = {i: i for i in kept}
+    for i in kept:
+        for j in kept:
+            a, b = shingles(kept[i]), shingles(kept[j])
+            if a and 100 * len(a & b) >= 85 * len(a | b) and part[i] != part[j]:
+                low, high = sorted((part[i], part[j]))
+                part = {k: low if v == high else v for k, v in part.items()}
+    kept = {i: t for i, t in kept.items() if part[i] == i}
+    for i in list(kept):
+        n, hit, _ = hits_of(kept[i], [(1, dirty)])
+        if hit and 20 * hit >= n:
+            del kept[i]
+    mask = re.compile(r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{6,}|AKIA[A-Z0-9]{16,}")
+    kept = {i: mask.sub("[REDACTED]", t) for i, t in kept.items()}
+    tok, want = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), Counter()
+    for i, t in kept.items():
+        ids = np.array([*tok.encode(t, add_special_tokens=False).ids, 1], "<u4")
+        for k in range(0, len(ids), 4096):
+            want[(i, k // 4096, k, len(ids[k : k + 4096]), zlib.crc32(ids[k : k + 4096].tobytes()))] += 1
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    bins = defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append((r.offset, r.length))
+    assert all([a for a, _ in b] == [sum(n for _, n in b[:k]) for k in range(len(b))] and sum(n for _, n in b) <= 4096 for b in map(sorted, bins.values()))
+    assert len(bins) == -(-sum(r.length for r in got) // 4096)
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
