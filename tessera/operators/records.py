@@ -51,3 +51,19 @@ def grouped(rows: DataFrame, keys: list[str], order: str, text: str, size: int)
     parts = rows.withColumn("_place", F.row_number().over(w) - 1).withColumn("part", F.floor(F.col("_place") / size))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]), "\n")
     return parts.groupBy(*keys, "part").agg(F.count("*").alias("n"), F.min(order).alias("first"), F.max(order).alias("last"), joined.alias("content"))
+
+
+def page(rows: DataFrame, keys: list[str], order: str, after: Column, n: int) -> DataFrame:
+    """The n rows of each key that follow after by order, place 1 the first: a page by keyset, without counting what it skips."""
+    place = Window.partitionBy(*keys).orderBy(order)
+    return rows.where(F.col(order) > after).withColumn("place", F.row_number().over(place)).where(F.col("place") <= n)
+
+
+def states(events: DataFrame, key: str, order: list[str], kind: str, failure: str) -> DataFrame:
+    """(key, last_index, state, failures, first_at, last_at): a run's log folded into its state, that of its last event by order.
+
+    Sums and maxima only, so a hot run is added up where its events are.
+    """
+    return events.groupBy(key).agg(
+        F.count("*").alias("last_index"), F.max_by(kind, F.struct(*order)).alias("state"), F.count_if(F.col(kind) == failure).alias("failures"), F.min(order[0]).alias("first_at"), F.max(order[0]).alias("last_at")
+    )
