@@ -199,3 +199,29 @@ def parse_checks(nodes: DataFrame) -> DataFrame:
 def shuffled(cases: DataFrame, key: str, seed: int) -> DataFrame:
     """cases with a place (from 1) in an order that seed decides alone, the same wherever it runs."""
     return cases.withColumn("place", F.row_number().over(Window.orderBy(F.sha1(F.concat_ws(":", F.lit(seed), F.col(key))), key)))
+
+
+def answers_scored(answers: DataFrame) -> DataFrame:
+    """answers (case_id, answer, terms, retrieved, citations) with passed and the sorted failures of each: no answer, no expected term
+    in it, no citation, or the case's chunk not retrieved. Null answers are empty."""
+    text = F.coalesce("answer", F.lit(""))
+    has = lambda t: in_evidence(t, T.folded(text), F.array_distinct(T.eval_tokens(text)))
+    reasons = {
+        "empty_answer": F.trim(text) == "", "missing_terms": ~F.exists("terms", has), "no_citations": F.coalesce("citations", F.lit(0)) < 1, "retrieval_miss": ~F.coalesce("retrieved", F.lit(False)),
+    }
+    failures = F.array_sort(F.array_compact(F.array(*(F.when(bad, name) for name, bad in reasons.items()))))
+    return answers.withColumn("failures", failures).withColumn("passed", F.size("failures") == 0)
+
+
+def end_to_end(scored: DataFrame) -> DataFrame:
+    """One row of counts and percentages of scored answers."""
+    share = lambda fits: F.round(100 * F.coalesce(F.avg(fits.cast("double")), F.lit(0.0)), 2)
+    return scored.agg(F.count("*").alias("total"), F.count_if("passed").alias("passes"), share(F.col("passed")).alias("pass_rate"), share(~F.array_contains("failures", "empty_answer")).alias("answered_rate"), share(F.coalesce("retrieved", F.lit(False))).alias("retrieved_rate"))
+
+
+def selections_scored(cases: DataFrame, chosen: DataFrame, top: int = 5) -> DataFrame:
+    """(case_id, attempted, passed, rank, failure): whether a case's document is among the first top documents chosen for it."""
+    own = chosen.withColumnRenamed("doc", "_doc").withColumnRenamed("rank", "_rank")
+    met = cases.join(own, "case_id", "left").groupBy("case_id").agg(F.count("_doc").alias("n"), F.coalesce(F.min(F.when((F.col("_doc") == F.col("doc")) & (F.col("_rank") <= top), F.col("_rank"))), F.lit(0)).alias("rank"))
+    failure = F.when(F.col("n") == 0, "metadata_selection_not_recorded").when(F.col("rank") == 0, "metadata_document_miss")
+    return met.select("case_id", (F.col("n") > 0).alias("attempted"), (F.col("rank") > 0).alias("passed"), "rank", failure.alias("failure"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tessera.functions import names as N
 from tessera.functions import text as T
 from tessera.operators import answers, chunks, evaluation, questions, records, retrieval, search, structure, writes
-from tessera.streaming.runs import ingest, windowed
+from tessera.streaming.runs import consume, ingest, windowed
 
 
 def hits(spark, rows):
@@ -218,3 +218,27 @@ def test_rounding_to_six_places_is_that_of_spark(spark):
     score = np.array([0.1234565, 0.1234575, -0.1234565, 0.0000005, -0.0000004, 1.0000000000000002, 0.9999995, 0.12345649999999999, *np.random.default_rng(1).uniform(-1, 1, 500), *(np.arange(500) / 1e6 + 5e-7)])
     rows = spark.createDataFrame([(i, float(s)) for i, s in enumerate(score)], "i int, s double").select("i", F.round("s", 6).alias("s")).orderBy("i").collect()
     assert [round(r.s * 1e6) for r in rows] == search._millionths(score).tolist()
+
+
+def test_jobs_are_worked_on_once_and_failures_stand_alone(spark, tmp_path):
+    put = lambda n, rows: spark.createDataFrame(rows, "job_id string, payload string").write.json(f"{tmp_path}/queue/{n}")
+    work = lambda batch: batch.withColumn("error", F.when(F.col("payload") == "bad", "no such document"))
+    run = lambda: consume(spark, f"{tmp_path}/queue", f"{tmp_path}/statuses", f"{tmp_path}/next", f"{tmp_path}/state", work)
+    put(1, [("a", "x"), ("b", "bad"), ("a", "x"), (None, "y")])
+    run()
+    run()
+    put(2, [("c", "z")])
+    run()
+    assert sorted((r.job_id, r.status, r.error) for r in spark.read.parquet(f"{tmp_path}/statuses").collect()) == [("a", "done", None), ("b", "failed", "no such document"), ("c", "done", None)]
+    assert sorted(r.job_id for r in spark.read.json(f"{tmp_path}/next").collect()) == ["a", "c"]
+
+
+def test_answers_and_selections_are_scored(spark):
+    said = spark.createDataFrame([(1, "Set it to 24 V", ["24 v", "set"], True, 2), (2, "", ["x"], False, 0), (3, "no idea", ["24 v"], True, 1)], "case_id int, answer string, terms array<string>, retrieved boolean, citations int")
+    got = {r.case_id: (r.passed, r.failures) for r in evaluation.answers_scored(said).collect()}
+    assert got == {1: (True, []), 2: (False, ["empty_answer", "missing_terms", "no_citations", "retrieval_miss"]), 3: (False, ["missing_terms"])}
+    chosen = spark.createDataFrame([(1, "d1", 1), (1, "d2", 2), (2, "d9", 1)], "case_id int, doc string, rank int")
+    cases = spark.createDataFrame([(1, "d2"), (2, "d1"), (3, "d1")], "case_id int, doc string")
+    got = {r.case_id: (r.attempted, r.passed, r["rank"], r.failure) for r in evaluation.selections_scored(cases, chosen).collect()}
+    assert got == {1: (True, True, 2, None), 2: (True, False, 0, "metadata_document_miss"), 3: (False, False, 0, "metadata_selection_not_recorded")}
+    assert evaluation.end_to_end(evaluation.answers_scored(said)).first().asDict() == {"total": 3, "passes": 1, "pass_rate": 33.33, "answered_rate": 66.67, "retrieved_rate": 66.67}
