@@ -80,14 +80,15 @@ def gapless_rank(df: DataFrame, keys: list[str], order: list[str], name: str, ro
     return ranked.join(base, [*keys, "_bucket"]).withColumn(name, F.col("_base") + F.col("_place")).drop("_bucket", "_base", "_place")
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """Connected components of links (a, b, same type): (node, component), component the smallest node.
 
-    Alternating large and small stars: every round is two aggregations over the remaining edges, each round a written table.
+    Alternating large and small stars: every round is two aggregations over the remaining edges, each round a written table. Rounds
+    grow with the logarithm of the longest path, and the last one changes nothing.
     """
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     last = None
-    for _ in range(max_rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -99,8 +100,6 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         if state == last:
             break
         last = state
-    else:
-        raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 

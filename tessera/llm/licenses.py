@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from tessera.llm._common import LOWER_ASCII, bit_filter, bytes_of, mix64, passes, resident, text_slices, word_hashes, words_of, written
 from tessera.llm.decontam import _WORD
 
-#: Words that an alignment may drift from its first anchor, at most; a fifth of the template where that is less.
-MOST_DRIFT = 128
 #: Public notices and texts of common licenses, by name.
 TEMPLATES = {
     "Apache-2.0/line": "Licensed under the Apache License, Version 2.0.",
@@ -123,7 +121,7 @@ def align(template: np.ndarray, words: np.ndarray, low: int, width: int) -> tupl
 def _matches(template: np.ndarray, words: np.ndarray, shifts: list[int], coverage: float) -> Iterator[tuple[int, int, int]]:
     """Alignments that reach the coverage, one for each group of shifts (places where the template would begin) within its drift."""
     m, shifts = len(template), sorted(shifts)
-    drift = min(max(1, m // 5), MOST_DRIFT)
+    drift = max(1, m // 5)
     k = 0
     while k < len(shifts):
         low = shifts[k]
@@ -166,7 +164,8 @@ def scan(docs: DataFrame, templates: DataFrame, key: str = "doc_id", text: str =
     template: any run of gram + window - 1 of its words does, and so does a whole shorter template. The alignment there must
     match at least the given share of the template's words. start and end (exclusive) are code points of the first and last
     matched word. Of overlapping matches in a text the one with the larger coverage stays, then with more words, then by
-    name and place. Texts and templates that are null or without words match nothing; a null name reads as the empty string;
+    name and place. An alignment may drift by a fifth of its
+    template's words; what drifts further is another match, or none. Texts and templates that are null or without words match nothing; a null name reads as the empty string;
     equal templates count once; repeated rows and rows with a null key each have their matches; empty tables give no rows.
     Other columns are not looked at.
     """
