@@ -139,9 +139,9 @@ class Graph:
         met before: only nodes with a new one around them take part."""
         near = F.arrays_zip(F.slice("ids", 1, sample).alias("u"), F.slice("age", 1, sample).alias("age"))
         out = links.select(F.col("node").alias("v"), F.inline(near)).select("v", "u", (F.col("age") != DONE).alias("new"))
-        # a node that is everyone's neighbour keeps a sample of them, another one each round
-        some = Window.partitionBy("u").orderBy(F.xxhash64("v", "u", F.lit(number)))
-        back = out.withColumn("r", F.row_number().over(some)).where(F.col("r") <= sample).select(F.col("u").alias("v"), F.col("v").alias("u"), "new")
+        # a node that is everyone's neighbour keeps a sample of them, new ones first and others by chance, another one each round
+        some = Window.partitionBy("u").orderBy(F.desc("new"), F.xxhash64("v", "u", F.lit(number)))
+        back = out.withColumn("r", F.row_number().over(some)).where(F.col("r") <= 2 * sample).select(F.col("u").alias("v"), F.col("v").alias("u"), "new")
         both = out.unionByName(back).groupBy("v", "u").agg(F.max("new").alias("new"))
         busy = both.withColumn("any", F.max("new").over(Window.partitionBy("v"))).where("any").drop("any")
         around = busy.join(self.coded.withColumnRenamed("node", "u"), "u")
