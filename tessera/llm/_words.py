@@ -13,11 +13,11 @@ from tessera.llm._common import word_hashes
 class WordMemory:
     """Token ids of words by 64-bit hashes of their bytes (two remembered words with one hash: under 1e-7 in all).
 
-    Beyond limit words or most ids it forgets words that came up once only, then all: some 30 MB at most, beside what one
+    Beyond limit words or most ids it forgets words that came up once only, then all: some 60 MB at most, beside what one
     slice needs.
     """
 
-    def __init__(self, encode: Callable[[list[bytes], np.ndarray], list[np.ndarray]], limit: int = 120_000, most: int = 2_000_000):
+    def __init__(self, encode: Callable[[list[bytes], np.ndarray], list[np.ndarray]], limit: int = 300_000, most: int = 4_000_000):
         self.encode, self.limit, self.most = encode, limit, most
         self._clear()
 
