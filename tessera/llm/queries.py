@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, decontam, jaccard, langid, licenses, packing, repeats, secrets, shards, tokencount, urls
+from tessera.llm import ann, collocations, decontam, jaccard, langid, licenses, packing, repeats, secrets, shards, tokencount, trie, urls
 from tessera.llm._common import load
 
 
@@ -58,7 +58,30 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeated_passages(load(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op3_ngram_jaccard_join, op4_benchmark_decontamination, op5_sharding, op6_license_scans, op7_language_id, op8_url_filters, op9_secret_scans, op10_nearest_neighbours, op11_substring_dedup)}
+def op12_collocation_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(load(spark, sf_dir, "documents"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(load(spark, sf_dir, "conversations"))
+
+
+_ALL = (
+    op1_best_fit_packing,
+    op2_token_counts,
+    op3_ngram_jaccard_join,
+    op4_benchmark_decontamination,
+    op5_sharding,
+    op6_license_scans,
+    op7_language_id,
+    op8_url_filters,
+    op9_secret_scans,
+    op10_nearest_neighbours,
+    op11_substring_dedup,
+    op12_collocation_mining,
+    op13_conversation_trie,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 _RULES = ", ".join(f"('{verdict}', '{host}', '/{path}', '{host}/{path}')" for verdict, host, path in urls.CONTRACT_RULES)
 _PATTERNS = " OR ".join(f"regexp_matches(host || path, '{pattern}')" for _, _, pattern in urls.DEFAULT_PATTERNS)
