@@ -17,6 +17,8 @@ BLOCK = 512
 FIRST = 128
 #: Nodes that every search may start from, beside the query's own neighbours: a fixed number.
 ENTRIES = 64
+#: Queries whose pools one task advances together.
+TOGETHER = 16
 #: Rounds after which a graph or a search that goes on is an error; no result is cut short.
 GUARD = 1000
 
@@ -29,9 +31,23 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def _coded(column: pa.ChunkedArray) -> np.ndarray:
-    """Vectors back from their codes: a scale, then a byte for each component."""
+    """Vectors back from their codes: a scale in double precision, then a byte for each component."""
     raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
-    return raw[:, 4:].view(np.int8).astype(np.float32) * np.ascontiguousarray(raw[:, :4]).view(np.float32)
+    return raw[:, 8:].view(np.int8) * np.ascontiguousarray(raw[:, :8]).view(np.float64)
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows in double precision; where squares leave its range, of rows scaled first."""
+    with np.errstate(over="ignore", under="ignore"):
+        out = np.sqrt(((a - b) ** 2).sum(1))
+        odd = np.flatnonzero(~np.isfinite(out) | (out < 1e-140))
+        if len(odd):
+            # halves cannot overflow
+            half = a[odd] / 2 - b[odd] / 2
+            most = np.abs(half).max(axis=1, initial=0)
+            unit = np.where(most > 0, most, 1)
+            out[odd] = np.where(most > 0, np.sqrt(((half / unit[:, None]) ** 2).sum(1)) * unit * 2, 0)
+    return out
 
 
 def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -54,12 +70,12 @@ def _lists(node: np.ndarray, ids: np.ndarray, ds: np.ndarray, k: int, age: np.nd
     near = np.arange(len(node)) - np.repeat(first, np.diff(np.append(first, len(node)))) < k
     node, ids, ds, age = node[near], ids[near], ds[near], age[near]
     off = pa.array(np.append(np.searchsorted(node, names), len(node)).astype(np.int32))
-    listed = {"ids": ids, "ds": ds.astype(np.float32), "age": age.astype(np.int8)}
+    listed = {"ids": ids, "ds": ds.astype(np.float64), "age": age.astype(np.int8)}
     return pa.table({"node": names} | {c: pa.ListArray.from_arrays(off, pa.array(v)) for c, v in listed.items()})
 
 
 DONE, WAITING, FRESH = range(3)
-_GRAPH = "node long, ids array<long>, ds array<float>, age array<tinyint>"
+_GRAPH = "node long, ids array<long>, ds array<double>, age array<tinyint>"
 
 
 def classes(vectors: DataFrame, key: str, vector: str) -> tuple[DataFrame, DataFrame]:
@@ -86,7 +102,9 @@ class Graph:
         if not self.size:
             self.links = nodes.sparkSession.createDataFrame([], _GRAPH)
             return
-        self.coded = written(nodes.mapInArrow(_encode, "node long, code binary"), "codes")
+        # components become parts of the largest one, so that squares of distances stay within range
+        unit = nodes.agg(F.max(F.array_max(F.transform("vec", lambda x: F.abs(x.cast("double")))))).first()[0]
+        self.coded = written(nodes.mapInArrow(_encoder(unit), "node long, code binary"), "codes")
         near = self._first(0)
         for salt in range(1, starts):
             near = near.unionByName(self._first(salt))
@@ -185,28 +203,43 @@ class Graph:
         """
         near = self.neighbours()
         starts = [r["node"] for r in self.nodes.select("node").orderBy(F.xxhash64("node"), "node").limit(ENTRIES).collect()]
-        wanted = queries.select("query", F.col("query").alias("id")).unionByName(queries.select("query", F.explode(F.array(*map(F.lit, starts)).cast("array<long>")).alias("id")))
-        wanted = wanted.unionByName(queries.select("query").join(self.links.select(F.col("node").alias("query"), F.explode("ids").alias("id")), "query")).distinct()
-        state = queries.select("query", F.col("vec").alias("q"), F.array().cast("array<long>").alias("ids"), F.array().cast("array<double>").alias("ds"), F.array().cast("array<boolean>").alias("asked"), F.array().cast("array<long>").alias("ask"))
+        entries = F.explode(F.array(*map(F.lit, starts)).cast("array<long>")).alias("id")
+        own = self.links.select(F.col("node").alias("query"), F.explode("ids").alias("id"))
+        wanted = queries.select("query", F.col("query").alias("id")).unionByName(queries.select("query", entries)).unionByName(queries.select("query").join(own, "query")).distinct()
+        none = lambda kind: F.array().cast(f"array<{kind}>")
+        state = queries.select("query", F.col("vec").alias("q"), none("long").alias("ids"), none("double").alias("ds"), none("boolean").alias("asked"), none("long").alias("ask"), none("long").alias("met"))
         schema = state.schema
-        seen = None
+        part = F.pmod(F.xxhash64("query"), F.lit(max(1, math.ceil(queries.count() / TOGETHER)))).alias("part")
 
         def advance(old: pa.Table, new: pa.Table) -> pa.Table:
+            """The pools of one block of queries with what has been measured for them."""
             if not old.num_rows:
-                return old
-            q = _matrix(old.column("q")).astype(np.float64)
-            ids, ds, asked = (old.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("ids", "ds", "asked"))
+                return old.select(schema.names)
+            query, q = old.column("query").to_numpy(), _matrix(old.column("q")).astype(np.float64)
+            held = {c: old.column(c).combine_chunks() for c in ("ids", "ds", "asked", "met")}
+            of = np.repeat(np.arange(len(query)), held["ids"].value_lengths().to_numpy())
+            met_of = np.repeat(np.arange(len(query)), held["met"].value_lengths().to_numpy())
+            ids, ds, asked, met = (held[c].flatten().to_numpy(zero_copy_only=False) for c in ("ids", "ds", "asked", "met"))
             if new.num_rows:
-                ids = np.concatenate([ids, new.column("id").to_numpy()])
-                ds = np.concatenate([ds, np.sqrt(((_matrix(new.column("vec")).astype(np.float64) - q) ** 2).sum(1))])
-                asked = np.concatenate([asked.astype(bool), np.zeros(new.num_rows, bool)])
-            best = np.lexsort((ids, ds))[:pool]
-            ids, ds, asked = ids[best], ds[best], asked[best].astype(bool)
-            now = np.flatnonzero(~asked)[:step]
+                order = np.argsort(query)
+                to = order[np.searchsorted(query[order], new.column("query").to_numpy())]
+                fresh = new.column("id").to_numpy()
+                of, ids, asked = np.concatenate([of, to]), np.concatenate([ids, fresh]), np.concatenate([asked.astype(bool), np.zeros(len(to), bool)])
+                ds = np.concatenate([ds, distances(_matrix(new.column("vec")).astype(np.float64), q[to])])
+                met_of, met = np.concatenate([met_of, to]), np.concatenate([met, fresh])
+            place = lambda of: np.arange(len(of)) - np.searchsorted(of, of)
+            best = np.lexsort((ids, ds, of))
+            best = best[place(of[best]) < pool]
+            of, ids, ds, asked = of[best], ids[best], ds[best], asked[best].astype(bool)
+            open_ = np.flatnonzero(~asked)
+            now = open_[place(of[open_]) < step]
             asked[now] = True
-            cols = [old.column("query").combine_chunks(), old.column("q").combine_chunks()]
-            cols += [pa.array([x], pa.list_(t)) for x, t in ((ids, pa.int64()), (ds, pa.float64()), (asked, pa.bool_()), (ids[now], pa.int64()))]
-            return pa.Table.from_arrays(cols, names=["query", "q", "ids", "ds", "asked", "ask"])
+            by = np.argsort(met_of, kind="stable")
+            lists = {"ids": (of, pa.array(ids, pa.int64())), "ds": (of, pa.array(ds, pa.float64())), "asked": (of, pa.array(asked, pa.bool_()))}
+            lists |= {"ask": (of[now], pa.array(ids[now], pa.int64())), "met": (met_of[by], pa.array(met[by], pa.int64()))}
+            edges = lambda of: pa.array(np.searchsorted(of, np.arange(len(query) + 1)).astype(np.int32))
+            cols = {"query": old.column("query"), "q": old.column("q")} | {c: pa.ListArray.from_arrays(edges(of), v) for c, (of, v) in lists.items()}
+            return pa.table({c: cols[c] for c in schema.names})
 
         self.searched = 0
         while True:
@@ -214,10 +247,13 @@ class Graph:
                 raise RuntimeError("search did not end")
             self.searched += 1
             # each pair is measured once
-            fresh = written(wanted if seen is None else wanted.join(seen, ["query", "id"], "left_anti"), "fresh")
-            seen = fresh if seen is None else seen.unionByName(fresh)
-            measured = fresh.join(self.nodes.withColumnRenamed("node", "id"), "id")
-            state = written(state.groupBy("query").cogroup(measured.groupBy("query")).applyInArrow(advance, schema), "search")
+            fresh = wanted if not self.searched - 1 else wanted.join(state.select("query", F.explode("met").alias("id")), ["query", "id"], "left_anti")
+            measured = fresh.join(self.nodes.withColumnRenamed("node", "id"), "id").withColumn("part", part)
+            measured = measured.toDF(*measured.columns)  # columns of its own, apart from those of state
+            after = written(state.withColumn("part", part).groupBy("part").cogroup(measured.groupBy("part")).applyInArrow(advance, schema), "search")
+            if self.searched > 1:
+                discard(state)
+            state = after
             ask = state.select("query", F.explode("ask").alias("node"))
             if not ask.limit(1).count():
                 break
@@ -225,13 +261,16 @@ class Graph:
         return state.select("query", "ids", "ds")
 
 
-def _encode(batches):  # noqa: ANN001, ANN202
-    for batch in batches:
-        if batch.num_rows:
-            x = _matrix(batch.column(batch.schema.get_field_index("vec"))).astype(np.float64)
-            scale = np.maximum(np.abs(x).max(axis=1), 1e-300) / 127
-            codes = np.concatenate([scale.astype(np.float32)[:, None].view(np.uint8), np.round(x / scale[:, None]).astype(np.int8).view(np.uint8)], axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("node")), pa.array([c.tobytes() for c in codes], pa.binary())], names=["node", "code"])
+def _encoder(unit: float):  # noqa: ANN202
+    def encode(batches):  # noqa: ANN001, ANN202
+        for batch in batches:
+            if batch.num_rows:
+                x = _matrix(batch.column(batch.schema.get_field_index("vec"))).astype(np.float64) / unit
+                scale = np.maximum(np.abs(x).max(axis=1), 1e-300) / 127
+                codes = np.concatenate([scale[:, None].view(np.uint8), np.round(x / scale[:, None]).astype(np.int8).view(np.uint8)], axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("node")), pa.array([c.tobytes() for c in codes], pa.binary())], names=["node", "code"])
+
+    return encode
 
 
 def nearest(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 100, k: int = 10, **graph: float) -> DataFrame:
@@ -239,8 +278,9 @@ def nearest(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding",
 
     score is the Euclidean distance of the original vectors in double precision; nearest first, ties to the smaller key.
     Equal vectors are one node of the graph and come back as rows: a query's own copies count at distance 0. Null and zero
-    vectors, vectors with null or non-finite components or of another length than most, and null keys take no part. Rows
-    with one key and equal vectors are one row. With k or fewer candidates all are returned; empty tables give empty ones.
+    vectors, vectors with null or non-finite components or of another length than most, and null keys take no part. Finite
+    components may be of any size; in the graph, distances below some 1e-150 of the largest component count as 0. Rows with
+    one key and equal vectors are one row. With k or fewer candidates all are returned; empty tables give empty ones.
     """
     rows, nodes = classes(vectors, key, vector)
     asked = rows.where(F.col("key") % every == 0).distinct()

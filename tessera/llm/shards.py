@@ -26,30 +26,38 @@ def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
     return out
 
 
+#: The state that null keys start from.
+_NULL = np.uint64(0x5BF03635D1F4BB21)
+
+
 def shard_of(key: Column, shards: int) -> Column:
-    """Shard of an integer key column. A null key has a place of its own."""
+    """Shard of an integer key column. A null key has a place of its own.
+
+    The step on executors sees whole numbers without nulls, so that 64-bit keys keep all their bits.
+    """
 
     @F.pandas_udf("int")
-    def place(k: pd.Series) -> pd.Series:
-        null = k.isna().to_numpy()
-        ids = k.fillna(0).to_numpy().astype(np.int64).view(np.uint64)
-        return pd.Series(jump_hash(np.where(null, np.uint64(0x5BF03635D1F4BB21), mix64(ids + np.uint64(1))), shards).astype(np.int32))
+    def place(k: pd.Series, null: pd.Series) -> pd.Series:
+        ids = k.to_numpy(np.int64).view(np.uint64)
+        return pd.Series(jump_hash(np.where(null.to_numpy(bool), _NULL, mix64(ids + np.uint64(1))), shards).astype(np.int32))
 
-    return place(key)
+    return place(F.coalesce(key, F.lit(0)).cast("long"), key.isNull())
 
 
 def shard(docs: DataFrame, key: str = "doc_id", shards: int = 8, text: str = "text", per_bucket: int = 4_000) -> DataFrame:
     """Deals every row to a shard: (key, size, text_crc32, law, shard, slot, grown_shard).
 
-    The key (whole numbers, or anything else by its hash) and the number of shards alone decide; grown_shard is the place with one shard more. size is the text's UTF-8
-    bytes plus 1; a null text counts as empty; a null key goes where all null keys go. Rows with the same key share a
-    shard but have slots of their own. slot runs from 0 without gaps in a shard. An empty table gives an empty table;
-    other columns are not looked at.
+    The key (whole numbers of up to 64 bits, or anything else by its hash) and the number of shards alone decide, whatever
+    other rows there are; grown_shard is the place with one shard more. size is the text's UTF-8 bytes plus 1; a null text
+    counts as empty; a null key goes where all null keys go. Rows with the same key share a shard but have slots of their
+    own. slot runs from 0 without gaps in a shard. An empty table gives an empty table; other columns are not looked at.
     """
     whole = dict(docs.dtypes)[key] in ("tinyint", "smallint", "int", "bigint")
     body = docs.select((F.col(key).cast("long") if whole else F.col(key)).alias(key), text_or_empty(text).alias("_text"))
     stable = F.col(key) if whole else F.when(F.col(key).isNotNull(), F.xxhash64(F.col(key)))
-    narrow = body.select(key, stable.alias("_stable"), (F.octet_length("_text").cast("long") + 1).alias("size"), F.crc32(F.col("_text").cast("binary")).alias("text_crc32"), F.lit("key").alias("law"))
-    placed = written(narrow.withColumn("shard", shard_of(F.col("_stable"), shards)).withColumn("grown_shard", shard_of(F.col("_stable"), shards + 1)).drop("_stable"), "shards")
+    size = (F.octet_length("_text").cast("long") + 1).alias("size")
+    narrow = body.select(key, stable.alias("_stable"), size, F.crc32(F.col("_text").cast("binary")).alias("text_crc32"), F.lit("key").alias("law"))
+    dealt = narrow.withColumn("shard", shard_of(F.col("_stable"), shards)).withColumn("grown_shard", shard_of(F.col("_stable"), shards + 1))
+    placed = written(dealt.drop("_stable"), "shards")
     ranked = gapless_rank(placed, ["shard"], [key, "text_crc32", "size"], "slot", placed.count(), per_bucket)
     return ranked.select(key, "size", "text_crc32", "law", "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
