@@ -26,18 +26,18 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bit_filter(names: DataFrame, column: str) -> np.ndarray:
-    """A filter over a column of 64-bit names; executors add bits up, and at most FILTER_BITS / 64 rows reach the driver."""
-    slots = names.select(F.col(column).bitwiseAND(F.lit(FILTER_BITS - 1)).alias("slot"))
+def bit_filter(names: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarray:
+    """A filter of so many bits over a column of 64-bit names; executors add bits up, and at most bits / 64 rows reach the driver."""
+    slots = names.select(F.col(column).bitwiseAND(F.lit(bits - 1)).alias("slot"))
     found = slots.groupBy(F.expr("cast(shiftright(slot, 6) as int)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits")).toPandas()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out = np.zeros(bits // 64, np.int64)
     out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
     return out.view(np.uint8)
 
 
 def passes(bits: np.ndarray, names: np.ndarray) -> np.ndarray:
     """Which 64-bit names the filter may hold."""
-    slots = (names.view(np.int64) & (FILTER_BITS - 1)).astype(np.int64)
+    slots = (names.view(np.int64) & (8 * len(bits) - 1)).astype(np.int64)
     return (bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
 
 

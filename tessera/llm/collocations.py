@@ -19,6 +19,8 @@ _ENDS = b".,;:!?\n\x0b\x0c\r"
 _WORD, _END = class_table(separators=b" \t" + _ENDS), class_table(words=_ENDS)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _CODEC = "zstd"
+#: Bits of the filter of frequent pairs, and how ids make its names: both fit a long.
+PAIR_BITS, _MOST, _STRIDE = 1 << 25, 1 << 31, 1_000_003
 
 
 def _packed(codes: np.ndarray) -> bytes:
@@ -99,34 +101,68 @@ def _chunks(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "chunk long, n long, codes binary, code int, lang string, word string, times long")
 
 
-def _paired(chunks: DataFrame, ids: DataFrame, last: bool) -> DataFrame:
-    """Chunks with codes of adjacent pairs in place of codes: chunk rows as before, dictionaries are (code, left, right, times).
+def _adjacent(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(places of adjacent codes, the number of the pair there; left and right code of each pair, how often it comes)."""
+    at = np.flatnonzero((codes[:-1] != 0) & (codes[1:] != 0))
+    pairs, local, times = np.unique(codes[at].astype(np.int64) << 32 | codes[at + 1], return_inverse=True, return_counts=True)
+    return at, local, pairs >> 32, pairs & (2**32 - 1), times
 
-    ids: (chunk, code, id) of the frequent ones; any other code becomes a break. last: no chunk rows, dictionaries only.
-    """
-    none = lambda kind: F.lit(None).cast(kind)
-    names = ["chunk", "n", "codes", "code", "left", "right", "times"]
-    every = ids.select("chunk", F.lit(0).alias("what"), "code", "id", none("long").alias("n"), none("binary").alias("codes")).unionByName(
-        chunks.select("chunk", F.lit(1).alias("what"), none("int").alias("code"), none("long").alias("id"), "n", "codes")
-    )
 
-    def pairs(number: int, codes: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        code, id_ = known
-        table = np.zeros(max(int(codes.max(initial=0)), int(code.max(initial=0))) + 1, np.int64)
-        table[code] = id_
-        here = table[codes]
-        at = np.flatnonzero((here[:-1] != 0) & (here[1:] != 0))
-        key = codes[at].astype(np.int64) << 32 | codes[at + 1].astype(np.int64)
-        distinct, local, times = np.unique(key, return_inverse=True, return_counts=True)
-        if not last and len(at):
-            out = np.zeros(len(codes), np.int32)
-            out[at] = local + 1
-            none = pa.nulls(1, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([len(out)], pa.int64()), pa.array([_packed(out)], pa.binary()), pa.nulls(1, pa.int32()), none, none, none], names=names)
-        left, right = table[distinct >> 32], table[distinct & (2**32 - 1)]
-        for a in range(0, len(distinct), 200_000):
-            m = len(times[a : a + 200_000])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, number, np.int64)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(np.arange(a + 1, a + m + 1, dtype=np.int32)), pa.array(left[a : a + m]), pa.array(right[a : a + m]), pa.array(times[a : a + m])], names=names)
+def _read(batch: pa.RecordBatch, k: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number, codes and ids (of code 0, 1, ...) of the chunk in row k."""
+    chunk, n, codes, ids = (batch.column(c)[k].as_py() for c in range(4))
+    return chunk, _unpacked(codes, n), np.frombuffer(ids, np.int64)
+
+
+def _counts(named: DataFrame) -> DataFrame:
+    """(left, right, times): pairs of adjacent ids, chunk by chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident()
+        for batch in batches:
+            for k in range(batch.num_rows):
+                _, codes, ids = _read(batch, k)
+                _, _, left, right, times = _adjacent(codes)
+                for a in range(0, len(times), 200_000):
+                    to = slice(a, a + 200_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[left[to]]), pa.array(ids[right[to]]), pa.array(times[to])], names=["left", "right", "times"])
+
+    return named.mapInArrow(run, "left long, right long, times long")
+
+
+def _pair_ids(named: DataFrame, frequent: DataFrame) -> DataFrame:
+    """(chunk, code, id): the ids of the frequent ones among the chunks' adjacent pairs, numbered as _adjacent does, from 1."""
+    name = (F.col("left") % _MOST * F.lit(_STRIDE) + F.col("right") % _MOST).alias("name")
+    bits = named.sparkSession.sparkContext.broadcast(bit_filter(frequent.select(name), "name", PAIR_BITS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident()
+        for batch in batches:
+            for k in range(batch.num_rows):
+                chunk, codes, ids = _read(batch, k)
+                _, _, left, right, _ = _adjacent(codes)
+                left, right = ids[left], ids[right]
+                near = np.flatnonzero(passes(bits.value, left % _MOST * _STRIDE + right % _MOST))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), chunk)), pa.array((near + 1).astype(np.int32)), pa.array(left[near]), pa.array(right[near])], names=["chunk", "code", "left", "right"])
+
+    near = named.mapInArrow(run, "chunk long, code int, left long, right long")
+    return near.join(frequent, ["left", "right"]).select("chunk", "code", "id")
+
+
+def _named(chunks: DataFrame, ids: DataFrame, paired: bool) -> DataFrame:
+    """Chunks (chunk, n, codes, ids) of those codes, or of those adjacent pairs of codes, that have ids (chunk, code, id)."""
+    none = lambda kind: F.lit(None).cast(kind)
+    told = ids.select("chunk", F.lit(0).alias("what"), "code", "id", none("long").alias("n"), none("binary").alias("codes"))
+    every = told.unionByName(chunks.select("chunk", F.lit(1).alias("what"), none("int").alias("code"), none("long").alias("id"), "n", "codes"))
+
+    def row(chunk: int, codes: np.ndarray, code: np.ndarray, id_: np.ndarray) -> pa.RecordBatch:
+        if paired:
+            at, local, _, _, _ = _adjacent(codes)
+            codes = np.zeros(len(codes), np.int32)
+            codes[at] = local + 1
+        table = np.zeros(max(int(codes.max(initial=0)), int(code.max())) + 1, np.int32)
+        table[code] = np.arange(1, len(code) + 1)
+        return pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([len(codes)], pa.int64()), pa.array([_packed(table[codes])], pa.binary()), pa.array([np.concatenate([[0], id_]).tobytes()], pa.binary())], names=["chunk", "n", "codes", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         resident()
@@ -144,32 +180,22 @@ def _paired(chunks: DataFrame, ids: DataFrame, last: bool) -> DataFrame:
                     code.append(part.column(2).to_numpy())
                     id_.append(part.column(3).to_numpy())
                 elif code:
-                    known = np.concatenate(code), np.concatenate(id_)
-                    for k in range(part.num_rows):
-                        yield from pairs(int(now), _unpacked(part.column(5)[k].as_py(), part.column(4)[k].as_py()), known)
+                    yield row(int(now), _unpacked(part.column(5)[0].as_py(), part.column(4)[0].as_py()), np.concatenate(code), np.concatenate(id_))
 
     ordered = every.repartition("chunk").sortWithinPartitions("chunk", "what")
-    return ordered.mapInArrow(run, "chunk long, n long, codes binary, code int, left long, right long, times long")
+    return ordered.mapInArrow(run, "chunk long, n long, codes binary, ids binary")
 
 
 def _frequent(dictionaries: DataFrame, names: list[str], least: int) -> DataFrame:
-    """(id, names, a) of what occurs at least so often in all chunks together."""
+    """(id, names, a) of what occurs at least so often in all chunks together; ids run from 1 without gaps."""
     counted = dictionaries.groupBy(*names).agg(F.sum("times").alias("a")).where(F.col("a") >= least)
-    return written(counted.select((F.monotonically_increasing_id() + 1).alias("id"), *names, "a"), "frequent")
-
-
-def _ids(dictionaries: DataFrame, frequent: DataFrame, names: list[str]) -> DataFrame:
-    """(chunk, code, id): the global ids of what chunks have of the frequent ones."""
-    bits = dictionaries.sparkSession.sparkContext.broadcast(bit_filter(frequent.select(F.xxhash64(*names).alias("name")), "name"))
-    kinds = dict(dictionaries.dtypes)
-
-    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(passes(bits.value, batch.column(0).to_numpy())))
-
-    schema = ", ".join(["name long", "chunk long", "code int", *(f"{c} {kinds[c]}" for c in names)])
-    near = dictionaries.select(F.xxhash64(*names).alias("name"), "chunk", "code", *names).mapInArrow(some, schema)
-    return near.join(frequent.select(*names, "id"), names).select("chunk", "code", "id")
+    made = written(counted.select(F.monotonically_increasing_id().alias("_row"), *names, "a"), "frequent")
+    part, place = F.expr("shiftright(_row, 33)").alias("_part"), F.expr("_row & ((1L << 33) - 1)")
+    # one row for each partition of the table
+    sizes = made.groupBy(part).agg(F.count("*").alias("n")).orderBy("_part").collect()
+    before = [(r["_part"], sum(x["n"] for x in sizes[:i])) for i, r in enumerate(sizes)]
+    offsets = made.sparkSession.createDataFrame(before, "_part long, _before long")
+    return made.withColumn("_part", part).join(F.broadcast(offsets), "_part").select((F.col("_before") + place + 1).alias("id"), *names, "a")
 
 
 def _score(a: Column, l: Column, r: Column) -> Column:  # noqa: E741
@@ -213,19 +239,21 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", longes
     totals = dictionary.groupBy("lang").agg(F.sum("times").alias("n"))
     frequent = _frequent(dictionary, ["lang", "word"], least)
     level = frequent.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("final"), F.array("a").alias("heads"), F.array("a").alias("tails"))
-    names, found = ["lang", "word"], []
+    known = dictionary.join(frequent.select("lang", "word", "id"), ["lang", "word"]).select("chunk", "code", "id")
+    named = written(_named(both.where("codes is not null"), known, False), "named")
+    found = []
     for words in range(2, longest + 1):
-        last = words == longest
-        paired = written(_paired(both.where("codes is not null"), _ids(dictionary, frequent, names), last), "paired")
-        if words > 2:
-            discard(both)
-        both, dictionary, names = paired, paired.where("code is not null"), ["left", "right"]
-        frequent = _frequent(dictionary, names, least)
+        frequent = _frequent(_counts(named), ["left", "right"], least)
         level = written(_grams(frequent, level, words), "grams")
         if found:
             above = frequent.select(F.explode(F.array("left", "right")).alias("id"), "a").groupBy("id").agg(F.max("a").alias("longer"))
             found[-1] = found[-1].join(above, "id", "left").where(F.col("longer").isNull() | (100 * F.col("longer").cast("decimal(28,0)") < percent * F.col("a").cast("decimal(28,0)")))
         found.append(level.select("id", "lang", "phrase", "a", "cut"))
+        if words < longest:
+            paired = written(_named(named, _pair_ids(named, frequent), True), "named")
+            discard(named)
+            named = paired
+    discard(named)
     best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     every = found[0].select("lang", "phrase", "a", "cut")
     for more in found[1:]:
