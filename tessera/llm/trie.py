@@ -31,7 +31,7 @@ def running(rows: DataFrame, key: str, order: list[str], totals: list[str], mark
     kept = [c for c in rows.columns if c not in rest]
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, before = None, dict.fromkeys([*totals, *marks, "_at"], np.int64(0))
+        last, before = None, dict.fromkeys([*totals, *marks, "_row"], np.int64(0))
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -41,7 +41,7 @@ def running(rows: DataFrame, key: str, order: list[str], totals: list[str], mark
             begin = np.concatenate([[0], np.flatnonzero(starts)])[group]
             data = {c: batch.column(k) for k, c in enumerate(batch.schema.names)}
             for c in before:
-                own = np.ones(len(keys), np.int64) if c == "_at" else data[c].to_numpy()
+                own = np.ones(len(keys), np.int64) if c == "_row" else data[c].to_numpy()
                 if c in marks:
                     run = np.concatenate([[0], np.bitwise_xor.accumulate(own)])
                     out = run[1:] ^ run[begin] ^ np.where(group == 0, before[c], 0)
@@ -55,10 +55,10 @@ def running(rows: DataFrame, key: str, order: list[str], totals: list[str], mark
     kinds = dict(laid.dtypes)
     body = laid.select(*kept, F.spark_partition_id().alias("_part"))
     # what the sort needs beyond kept is dropped only after it
-    schema = ", ".join([*(f"{c} {kinds[c]}" for c in kept), "_part int", "_at long"])
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in kept), "_part int", "_row long"])
     table = written(body.mapInArrow(sums, schema), name)
     sums_of = [*totals, *marks]
-    ends = table.groupBy("_part", key).agg(F.max_by(F.struct("_at", *sums_of), "_at").alias("_sum"))
+    ends = table.groupBy("_part", key).agg(F.max_by(F.struct("_row", *sums_of), "_row").alias("_sum"))
     shared = ends.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1")
     pieces = ends.join(shared, key).select("_part", key, "_sum.*").toPandas().sort_values([key, "_part"])
     offsets, have = [], {}
@@ -67,10 +67,10 @@ def running(rows: DataFrame, key: str, order: list[str], totals: list[str], mark
         offsets.append((int(row["_part"]), row[key], *(int(before[c]) for c in sums_of)))
         have[row[key]] = {c: before[c] ^ int(row[c]) if c in marks else before[c] + int(row[c]) for c in sums_of}
     if not offsets:
-        return table.drop("_part", "_at")
-    more = rows.sparkSession.createDataFrame(offsets, ", ".join(["_part int", f"{key} {kinds[key]}", *(f"_{c} long" for c in sums_of)]))
+        return table.drop("_part", "_row")
+    more = rows.sparkSession.createDataFrame(offsets, ", ".join(["_part int", f"{key} {kinds[key]}", *(f"_before_{c} long" for c in sums_of)]))
     joined = table.join(F.broadcast(more), ["_part", key], "left")
-    full = {c: F.col(c).bitwiseXOR(F.coalesce(f"_{c}", F.lit(0).cast("long"))) if c in marks else F.col(c) + F.coalesce(f"_{c}", F.lit(0)) for c in sums_of}
+    full = {c: F.col(c).bitwiseXOR(F.coalesce(f"_before_{c}", F.lit(0).cast("long"))) if c in marks else F.col(c) + F.coalesce(f"_before_{c}", F.lit(0)) for c in sums_of}
     return joined.select(*(full.get(c, F.col(c)).alias(c) for c in kept))
 
 
