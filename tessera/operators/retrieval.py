@@ -169,11 +169,16 @@ def _within(terms: Column, text: Column) -> Column:
     return F.exists(terms, lambda t: text.contains(t))
 
 
-def family_adjustment() -> Column:
-    """What a chunk's kind and labels add to its score for a question of these types and terms."""
+#: Lists of a document that name what it is about, as far as chunks carry them.
+IDENTIFYING = ["product_models", "product_families", "devices", "part_numbers", "settings", "parameters"]
+
+
+def family_adjustment(columns: list[str]) -> Column:
+    """What a chunk's kind and labels add to its score for a question of these types and terms; columns are those that chunks have."""
     kind, terms = F.col("chunk_type"), F.col("query_terms")
     any_type, add = Q.any_type, lambda fits, v: F.when(fits, v).otherwise(0.0)
-    models = F.lower(F.array_join("product_models", " "))
+    about = F.lower(F.concat_ws(" ", *(F.array_join(c, " ") for c in IDENTIFYING if c in columns)))
+    protocols = F.transform("document_protocol_terms", F.lower) if "document_protocol_terms" in columns else F.array().cast("array<string>")
     rules = [
         F.when(any_type(["spec_lookup"]), F.when(kind.isin(RECORDS), 0.06).when(kind == "atomic_text", -0.01).otherwise(0.0)).otherwise(0.0),
         F.when(any_type(["how_to", "configuration"]), F.when(kind == "procedure_record", 0.06).when(kind == "section_window", 0.03).otherwise(0.0)).otherwise(0.0),
@@ -181,8 +186,9 @@ def family_adjustment() -> Column:
         add(any_type(["revision_history"]) & (F.coalesce("version_signal", F.lit("false")) == "true"), 0.05),
         add((F.size("menu_labels") > 0) & _within(terms, F.lower(F.array_join("menu_labels", " "))), 0.03),
         add(F.arrays_overlap("protocol_terms", terms), 0.03),
+        add(F.arrays_overlap(protocols, terms), 0.02),
         add((F.size("identifier_tokens") > 0) & _within(terms, F.lower(F.array_join("identifier_tokens", " "))), 0.02),
-        add((models != "") & _within(terms, models), 0.02),
+        add((F.trim(about) != "") & _within(terms, about), 0.02),
         F.when(Q.prefers_prose(), F.when(kind.isin(PROSE), 0.03).when(kind.isin(RECORDS), -0.05).otherwise(0.0)).otherwise(0.0),
         add((kind == "atomic_text") & (F.size(T.words(F.col("content"))) <= 3), -0.04),
     ]
@@ -194,7 +200,7 @@ def family_adjustment() -> Column:
 
 def family_scored(hits: DataFrame, limit: int = 30) -> DataFrame:
     """hits with their chunk's columns and the question's, rescored by family_adjustment and ranked anew."""
-    return ranked(hits.drop("rank").withColumn("score", F.col("score") + family_adjustment()), limit)
+    return ranked(hits.drop("rank").withColumn("score", F.col("score") + family_adjustment(hits.columns)), limit)
 
 
 def completed(hits: DataFrame) -> DataFrame:
@@ -226,10 +232,15 @@ def aligned(hits: DataFrame, limit: int = 30) -> DataFrame:
 def family_selected(hits: DataFrame, limit: int = 12) -> DataFrame:
     """The hits of a question's first family that has any (max(6, limit) of them), then those of the second (max(4, limit / 2)),
     max(limit, 10) in all; a plain question begins with its first three hits. Without any allowed family: the first limit hits.
+    Families that a filter on kinds asks for (a column requested, in their order) stand in the place of the question's own.
     """
+    order_of, allowed = Q.family_order(), Q.allowed_families()
+    if "requested" in hits.columns:
+        own = F.when(F.size("requested") > 0, F.col("requested"))
+        order_of, allowed = F.coalesce(own, order_of), F.coalesce(own, allowed)
     order = Window.partitionBy("query_id", "family").orderBy("rank")
-    placed = hits.withColumn("in_family", F.row_number().over(order)).withColumn("wish", F.array_position(Q.family_order(), F.col("family")))
-    usable = F.array_contains(Q.allowed_families(), F.col("family")) & (F.col("wish") > 0)
+    placed = hits.withColumn("in_family", F.row_number().over(order)).withColumn("wish", F.array_position(order_of, F.col("family")))
+    usable = F.array_contains(allowed, F.col("family")) & (F.col("wish") > 0)
     placed = placed.withColumn("usable", usable)
     least = F.array_sort(F.collect_set(F.when(F.col("usable"), F.col("wish"))).over(Window.partitionBy("query_id")))
     placed = placed.withColumn("wishes", least)
