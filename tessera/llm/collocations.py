@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._common import LOWER_ASCII, bit_filter, bytes_of, class_table, discard, passes, resident, text_slices, word_hashes, words_of, written
+from tessera.llm._common import LOWER_ASCII, bytes_of, class_table, discard, mix64, resident, text_slices, word_hashes, words_of, written
 
 #: Words of a chunk, about: what a task holds at once, and what shares a dictionary.
 CHUNK_WORDS = 1_000_000
@@ -19,8 +19,9 @@ _ENDS = b".,;:!?\n\x0b\x0c\r"
 _WORD, _END = class_table(separators=b" \t" + _ENDS), class_table(words=_ENDS)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _CODEC = "zstd"
-#: Bits of the filter of frequent pairs, and how ids make its names: both fit a long.
-PAIR_BITS, _MOST, _STRIDE = 1 << 25, 1 << 31, 1_000_003
+#: Pairs that chunks send to one bucket, about: what a task adds up at once.
+BUCKET_PAIRS = 1_000_000
+_ANSWER = ["left", "right", "a", "id", "chunk", "bucket", "n", "places", "ids"]
 
 
 def _packed(codes: np.ndarray) -> bytes:
@@ -114,52 +115,135 @@ def _read(batch: pa.RecordBatch, k: int) -> tuple[int, np.ndarray, np.ndarray]:
     return chunk, _unpacked(codes, n), np.frombuffer(ids, np.int64)
 
 
-def _counts(named: DataFrame) -> DataFrame:
-    """(left, right, times): pairs of adjacent ids, chunk by chunk."""
+def _buckets(left: np.ndarray, right: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, edges): pairs by bucket, then by ids; bucket b has order[edges[b] : edges[b + 1]]. Both sides of a shuffle agree on it."""
+    of = (mix64(mix64(left) + right.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((right, left, of))
+    return order, np.searchsorted(of[order], np.arange(buckets + 1))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        resident()
-        for batch in batches:
-            for k in range(batch.num_rows):
-                _, codes, ids = _read(batch, k)
-                _, _, left, right, times = _adjacent(codes)
-                for a in range(0, len(times), 200_000):
-                    to = slice(a, a + 200_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[left[to]]), pa.array(ids[right[to]]), pa.array(times[to])], names=["left", "right", "times"])
 
-    return named.mapInArrow(run, "left long, right long, times long")
+def _squeezed(left: np.ndarray, right: np.ndarray, times: np.ndarray) -> bytes:
+    """Pairs in order of left: steps of left, right and times, each in as few bytes as the largest needs."""
+    parts = [np.diff(left, prepend=0), right, times]
+    small = [x.astype(np.uint32 if x.max(initial=0) < 1 << 32 else np.uint64) for x in parts]
+    return bytes(x.itemsize for x in small) + pa.compress(b"".join(x.tobytes() for x in small), codec=_CODEC, asbytes=True)
 
 
-def _pair_ids(named: DataFrame, frequent: DataFrame) -> DataFrame:
-    """(chunk, code, id): the ids of the frequent ones among the chunks' adjacent pairs, numbered as _adjacent does, from 1."""
-    name = (F.col("left") % _MOST * F.lit(_STRIDE) + F.col("right") % _MOST).alias("name")
-    bits = named.sparkSession.sparkContext.broadcast(bit_filter(frequent.select(name), "name", PAIR_BITS))
+def _unsqueezed(body: bytes, n: int) -> list[np.ndarray]:
+    widths = list(body[:3])
+    raw, out, at = pa.decompress(body[3:], n * sum(widths), codec=_CODEC, asbytes=True), [], 0
+    for width in widths:
+        out.append(np.frombuffer(raw, f"<u{width}", n, at).astype(np.int64))
+        at += n * width
+    return [np.cumsum(out[0]), *out[1:]]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _counted(named: DataFrame, least: int, last: bool) -> DataFrame:
+    """Pairs of adjacent ids that occur at least so often: (left, right, a, id); beside them, unless last, where chunks have them.
+
+    A chunk sends each bucket of pairs what it has of it, packed; a bucket adds up, names what is frequent, and answers each
+    chunk with the places of those pairs in what it sent (chunk, bucket, n, places, ids). A pair has one row of a chunk at
+    most; there are never more rows than pairs.
+    """
+    buckets = 1 + (named.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // BUCKET_PAIRS)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         resident()
         for batch in batches:
             for k in range(batch.num_rows):
                 chunk, codes, ids = _read(batch, k)
-                _, _, left, right, _ = _adjacent(codes)
+                _, _, left, right, times = _adjacent(codes)
                 left, right = ids[left], ids[right]
-                near = np.flatnonzero(passes(bits.value, left % _MOST * _STRIDE + right % _MOST))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), chunk)), pa.array((near + 1).astype(np.int32)), pa.array(left[near]), pa.array(right[near])], names=["chunk", "code", "left", "right"])
+                order, edges = _buckets(left, right, buckets)
+                some = np.flatnonzero(np.diff(edges))
+                for at in range(0, len(some), 512):
+                    part = some[at : at + 512]
+                    own = [order[edges[b] : edges[b + 1]] for b in part.tolist()]
+                    bodies = pa.array([_squeezed(left[x], right[x], times[x]) for x in own], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(np.full(len(part), chunk)), pa.array([len(x) for x in own], pa.int32()), bodies], names=["bucket", "chunk", "n", "body"])
+
+    def answer(bucket: int, rows: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+        sent = [_unsqueezed(body, n) for _, n, body in rows]
+        left, right, times = (np.concatenate([x[k] for x in sent]) for k in range(3))
+        order = np.lexsort((right, left))
+        first = np.flatnonzero(np.concatenate([[True], (left[order][1:] != left[order][:-1]) | (right[order][1:] != right[order][:-1])]))
+        total = np.add.reduceat(times[order], first)
+        often = total >= least
+        name = np.where(often, np.cumsum(often) * buckets - bucket, 0)
+        at = order[first[often]]
+        none = lambda kind: pa.nulls(len(at), kind)
+        yield pa.RecordBatch.from_arrays([pa.array(left[at]), pa.array(right[at]), pa.array(total[often]), pa.array(name[often]), none(pa.int64()), none(pa.int32()), none(pa.int32()), none(pa.binary()), none(pa.binary())], names=_ANSWER)
+        if last:
+            return
+        ids = np.empty(len(order), np.int64)
+        ids[order] = np.repeat(name, np.diff(np.append(first, len(order))))
+        begin = 0
+        for chunk, n, _ in rows:
+            own = ids[begin : begin + n]
+            begin += n
+            places = np.flatnonzero(own)
+            if len(places):
+                none = lambda: pa.nulls(1, pa.int64())
+                yield pa.RecordBatch.from_arrays([none(), none(), none(), none(), pa.array([chunk]), pa.array([bucket], pa.int32()), pa.array([len(places)], pa.int32()), pa.array([_packed(places)], pa.binary()), pa.array([own[places].tobytes()], pa.binary())], names=_ANSWER)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident()
+        now, rows = None, []
+        for batch in batches:
+            for bucket, chunk, n, body in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if bucket != now:
+                    if rows:
+                        yield from answer(now, rows)
+                    now, rows = bucket, []
+                rows.append((chunk, n, body))
+        if rows:
+            yield from answer(now, rows)
+
+    sent = named.mapInArrow(send, "bucket int, chunk long, n int, body binary").repartition("bucket").sortWithinPartitions("bucket")
+    return written(sent.mapInArrow(gather, "left long, right long, a long, id long, chunk long, bucket int, n int, places binary, ids binary"), "counted")
+
+
+def _renamed(named: DataFrame, counted: DataFrame) -> DataFrame:
+    """Chunks of the adjacent pairs that buckets have named, in place of what they were made of."""
+    buckets = 1 + (named.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // BUCKET_PAIRS)
+    none = lambda kind: F.lit(None).cast(kind)
+    answers = counted.where("chunk is not null").select("chunk", F.lit(0).alias("what"), "bucket", F.col("n").cast("long").alias("n"), F.col("places").alias("codes"), "ids")
+    every = answers.unionByName(named.select("chunk", F.lit(1).alias("what"), none("int").alias("bucket"), "n", "codes", "ids"))
+
+    def row(chunk: int, codes: np.ndarray, ids: np.ndarray, told: list[tuple]) -> pa.RecordBatch:
+        at, local, left, right, _ = _adjacent(codes)
+        order, edges = _buckets(ids[left], ids[right], buckets)
+        pair = np.concatenate([order[edges[b] + _unpacked(places, n)] for b, n, places, _ in told])
+        known = np.concatenate([np.frombuffer(x, np.int64) for *_, x in told])
+        table = np.zeros(len(order), np.int32)
+        table[pair] = np.arange(1, len(pair) + 1)
+        out = np.zeros(len(codes), np.int32)
+        out[at] = table[local]
+        return pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([len(out)], pa.int64()), pa.array([_packed(out)], pa.binary()), pa.array([np.concatenate([[0], known]).tobytes()], pa.binary())], names=["chunk", "n", "codes", "ids"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident()
+        now, told = None, []
+        for batch in batches:
+            for chunk, what, bucket, n, codes, ids in zip(*(batch.column(k) for k in range(6)), strict=True):
+                if chunk.as_py() != now:
+                    now, told = chunk.as_py(), []
+                if what.as_py() == 0:
+                    told.append((bucket.as_py(), n.as_py(), codes.as_py(), ids.as_py()))
+                elif told:
+                    yield row(now, _unpacked(codes.as_py(), n.as_py()), np.frombuffer(ids.as_py(), np.int64), told)
 
-    near = named.mapInArrow(run, "chunk long, code int, left long, right long")
-    return near.join(frequent, ["left", "right"]).select("chunk", "code", "id")
+    ordered = every.repartition("chunk").sortWithinPartitions("chunk", "what")
+    return ordered.mapInArrow(run, "chunk long, n long, codes binary, ids binary")
 
 
-def _named(chunks: DataFrame, ids: DataFrame, paired: bool) -> DataFrame:
-    """Chunks (chunk, n, codes, ids) of those codes, or of those adjacent pairs of codes, that have ids (chunk, code, id)."""
+def _named(chunks: DataFrame, ids: DataFrame) -> DataFrame:
+    """Chunks (chunk, n, codes, ids) of those codes that have ids (chunk, code, id)."""
     none = lambda kind: F.lit(None).cast(kind)
     told = ids.select("chunk", F.lit(0).alias("what"), "code", "id", none("long").alias("n"), none("binary").alias("codes"))
     every = told.unionByName(chunks.select("chunk", F.lit(1).alias("what"), none("int").alias("code"), none("long").alias("id"), "n", "codes"))
 
     def row(chunk: int, codes: np.ndarray, code: np.ndarray, id_: np.ndarray) -> pa.RecordBatch:
-        if paired:
-            at, local, _, _, _ = _adjacent(codes)
-            codes = np.zeros(len(codes), np.int32)
-            codes[at] = local + 1
         table = np.zeros(max(int(codes.max(initial=0)), int(code.max())) + 1, np.int32)
         table[code] = np.arange(1, len(code) + 1)
         return pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([len(codes)], pa.int64()), pa.array([_packed(table[codes])], pa.binary()), pa.array([np.concatenate([[0], id_]).tobytes()], pa.binary())], names=["chunk", "n", "codes", "ids"])
@@ -240,17 +324,18 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", longes
     frequent = _frequent(dictionary, ["lang", "word"], least)
     level = frequent.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("final"), F.array("a").alias("heads"), F.array("a").alias("tails"))
     known = dictionary.join(frequent.select("lang", "word", "id"), ["lang", "word"]).select("chunk", "code", "id")
-    named = written(_named(both.where("codes is not null"), known, False), "named")
+    named = written(_named(both.where("codes is not null"), known), "named")
     found = []
     for words in range(2, longest + 1):
-        frequent = _frequent(_counts(named), ["left", "right"], least)
+        counted = _counted(named, least, words == longest)
+        frequent = counted.where("left is not null").select("id", "left", "right", "a")
         level = written(_grams(frequent, level, words), "grams")
         if found:
             above = frequent.select(F.explode(F.array("left", "right")).alias("id"), "a").groupBy("id").agg(F.max("a").alias("longer"))
             found[-1] = found[-1].join(above, "id", "left").where(F.col("longer").isNull() | (100 * F.col("longer").cast("decimal(28,0)") < percent * F.col("a").cast("decimal(28,0)")))
         found.append(level.select("id", "lang", "phrase", "a", "cut"))
         if words < longest:
-            paired = written(_named(named, _pair_ids(named, frequent), True), "named")
+            paired = written(_renamed(named, counted), "named")
             discard(named)
             named = paired
     discard(named)
