@@ -128,8 +128,18 @@ def _fusion(name: str, lists: str, limit: int) -> str:
 
 SEARCHES = f"{ANALYSIS}, {CHUNKS}, {SCOPES}, {LEXICAL}, {HASHED.replace('@SLOT@', _slot_sql())}"
 _TABLE_LISTS = "SELECT query_id, chunk_id, score, rank, 0 AS list FROM ht UNION ALL SELECT query_id, chunk_id, score, rank, 1 FROM lx WHERE scope = 'table'"
-_LISTS = "SELECT query_id, chunk_id, score, rank, 0 AS list FROM hd UNION ALL SELECT query_id, chunk_id, score, rank, 1 FROM lx WHERE scope = 'all' UNION ALL SELECT query_id, chunk_id, score, rank, 2 FROM ft UNION ALL SELECT query_id, chunk_id, score, rank, 3 FROM lx WHERE scope NOT IN ('all', 'table')"
-FUSED = f"{SEARCHES}, {_fusion('ft', _TABLE_LISTS, 40)}, {_fusion('fu', _LISTS, 30)}"
+_LISTS = "SELECT query_id, chunk_id, score, rank, 0 AS list FROM hd UNION ALL SELECT query_id, chunk_id, score, rank, 1 FROM lx WHERE scope = 'all' UNION ALL SELECT query_id, chunk_id, score, rank, 2 FROM ft UNION ALL SELECT query_id, chunk_id, score, rank, 3 FROM sp"
+#: Each route's two lists fused, then routes end to end.
+SPECIAL = """wr AS (SELECT query_id, route, string_split(name, ';')[1] AS types, string_split(name, ';')[2] AS version FROM w WHERE string_split(name, ';')[3] = ''),
+  sp0 AS (SELECT wr.query_id, wr.route, c.chunk_id, sum(hc.v * hq.v) AS score FROM wr JOIN c ON list_contains(string_split(wr.types, ','), c.chunk_type) AND (wr.version = '' OR wr.version = c.version_signal)
+    JOIN hc ON hc.chunk_id = c.chunk_id JOIN hq ON hq.query_id = wr.query_id AND hq.slot = hc.slot GROUP BY ALL),
+  sp1 AS (SELECT r.query_id, r.route, r.chunk_id, r.score + c.priority / 100 AS score, r.rank
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id, route ORDER BY round(score, 10) DESC, chunk_id) AS rank FROM sp0) r JOIN c ON c.chunk_id = r.chunk_id WHERE rank <= 40),
+  sp2 AS (SELECT query_id, route, chunk_id, score, rank, 0 AS list FROM sp1 UNION ALL SELECT wr.query_id, wr.route, lx.chunk_id, lx.score, lx.rank, 1 FROM wr JOIN lx ON lx.query_id = wr.query_id AND lx.scope = wr.types || '|' || wr.version),
+  sp3 AS (SELECT query_id, route, chunk_id, sum(1.0e0 / (60 + rank)) AS score, min(list * 100000 + rank) AS first FROM sp2 GROUP BY query_id, route, chunk_id),
+  sp4 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, route ORDER BY round(score, 10) DESC, first, chunk_id) AS rank FROM sp3) WHERE rank <= 40),
+  sp AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY route, rank) AS rank FROM sp4)"""
+FUSED = f"{SEARCHES}, {_fusion('ft', _TABLE_LISTS, 40)}, {SPECIAL}, {_fusion('fu', _LISTS, 30)}"
 
 
 @query(f"WITH {SEARCHES} SELECT query_id, scope, chunk_id, round(score, 6) AS score, rank FROM lx")

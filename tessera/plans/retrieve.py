@@ -7,13 +7,20 @@ from pyspark.sql import functions as F
 
 from tessera.operators import questions as Q
 from tessera.operators import retrieval as R
+from tessera.operators import scopes as S
 from tessera.sources.interim import written
 
 
+def _routes(analysis: DataFrame) -> DataFrame:
+    """(query_id, route, scope, chunk_types, version_signal) of the special routes that ask for kinds of chunks."""
+    name = F.concat_ws("|", F.array_join("chunk_types", ","), F.coalesce("version_signal", F.lit("")))
+    return Q.routes(analysis).where("keyword is null").select("query_id", "route", name.alias("scope"), "chunk_types", "version_signal")
+
+
 def scopes(chunks: DataFrame, analysis: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(postings of every scope; (query_id, scope, query)): all chunks, tables, and the chunk types of each special route."""
     plain = chunks.sparkSession.createDataFrame([("all", None, None), ("table", ["table_record"], None)], "scope string, chunk_types array<string>, version_signal string")
-    named = Q.routes(analysis).where("keyword is null").withColumn("scope", F.concat_ws("|", F.array_join("chunk_types", ","), F.coalesce("version_signal", F.lit(""))))
+    named = _routes(analysis)
     every = plain.unionByName(named.select("scope", "chunk_types", "version_signal").distinct())
     asked = analysis.select("query_id", "query")
     wanted = asked.withColumn("scope", F.explode(F.array(F.lit("all"), F.lit("table")))).select("query_id", "scope", "query")
@@ -21,16 +28,29 @@ def scopes(chunks: DataFrame, analysis: DataFrame) -> tuple[DataFrame, DataFrame
     return written(R.scoped(R.postings(chunks), every), "postings"), wanted.unionByName(named.select("query_id", "scope").join(asked, "query_id").select("query_id", "scope", "query"))
 
 
-def candidates(chunks: DataFrame, analysis: DataFrame, limit: int = 40) -> list[DataFrame]:
-    """Hits of the four searches: hashed vectors, words, tables, and each question's special routes, in that order.
+def special(chunks: DataFrame, analysis: DataFrame, words: DataFrame, limit: int = 40) -> DataFrame:
+    """(query_id, chunk_id, score, best, rank): each special route's vectors and words fused, one route after the other.
 
-    Routes are searched by words; a route for an error code has no list of its own, as codes are words.
+    words: lexical hits with the scopes of routes. Ranks go on counting from route to route; a chunk of several routes comes
+    several times. A route for an error code has no list of its own where chunks hold no keywords, as codes are words.
     """
+    named = written(_routes(analysis), "routes")
+    within = R.scoped(chunks.select("chunk_id", "chunk_type", "version_signal"), named.select("scope", "chunk_types", "version_signal").distinct()).select("scope", "chunk_id")
+    vectors, asked = R.hashed_vectors(chunks, "chunk_id", F.col("content")), R.hashed_vectors(analysis, "query_id", F.col("query"))
+    found = S.hashed_within(vectors, written(within, "members"), asked, named.select("query_id", "scope").distinct(), "chunk_id")
+    dense = R.boosted(S.top(found, limit, "chunk_id"), chunks)
+    placed = lambda hits: hits.join(named.select("query_id", "route", "scope"), ["query_id", "scope"])
+    return S.run_on(S.fused_within([placed(dense), placed(words)], limit, ["query_id", "route"], "chunk_id"), ["route"]).drop("route")
+
+
+def candidates(chunks: DataFrame, analysis: DataFrame, limit: int = 40) -> list[DataFrame]:
+    """Hits of the four searches: hashed vectors, words, tables, and each question's special routes, in that order."""
     asked = analysis.select("query_id", "query")
     found, wanted = scopes(chunks, analysis)
     words = written(R.lexical(found, written(wanted, "asked"), chunks, limit), "hits")
     tables = R.hashed(chunks.where("chunk_type = 'table_record'"), asked, limit)
-    return [R.hashed(chunks, asked, limit), words.where("scope = 'all'"), R.fused([tables, words.where("scope = 'table'")], limit), words.where("scope not in ('all', 'table')")]
+    routed = special(chunks, analysis, words.where("scope not in ('all', 'table')"), limit)
+    return [R.hashed(chunks, asked, limit), words.where("scope = 'all'"), R.fused([tables, words.where("scope = 'table'")], limit), routed]
 
 
 def told(pool: DataFrame, chunks: DataFrame, analysis: DataFrame) -> DataFrame:
