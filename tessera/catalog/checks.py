@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.catalog import retrieval as C
 from tessera.catalog import sqltext as S
 from tessera.catalog.nodes import NORMALISED, _normal
 from tessera.catalog.registry import query
@@ -15,6 +16,7 @@ from tessera.operators import evaluation as E
 from tessera.operators import metadata as M
 from tessera.operators import retrieval as R
 from tessera.sources import library, manuals
+from tessera.sources.interim import written
 from tessera.sources.tables import table
 
 _RECORDS = S.listed(E.RECORDS)
@@ -62,7 +64,7 @@ def benchmark_cases(spark: SparkSession, d: str) -> DataFrame:
 
 
 _HITS = f"""{ASKED}, ca AS (SELECT chunk_id * 10 + n AS case_id, query, chunk_id, doc, section, chunk_type, list_slice(anchors, 1, 4) AS terms FROM v WHERE quality = 'validated'),
-  h0 AS (SELECT case_id, x.chunk_id, row_number() OVER (PARTITION BY case_id ORDER BY abs(x.chunk_id - ca.chunk_id - 3), x.chunk_id) AS rank FROM ca JOIN c x ON x.doc = ca.doc AND x.chunk_id BETWEEN ca.chunk_id AND ca.chunk_id + 200)"""
+  sc AS (SELECT 'all' AS scope, NULL AS types, '' AS version), qs AS (SELECT case_id AS query_id, query, 'all' AS scope FROM ca), {C.LEXICAL}, h0 AS (SELECT query_id AS case_id, chunk_id, rank FROM lx WHERE rank <= 5)"""
 
 
 def _has(term: str) -> str:
@@ -85,10 +87,10 @@ JUDGED = f"""{_HITS}, j0 AS (SELECT ca.*, h0.rank, x.chunk_id AS h_chunk, x.doc
 def _judged(spark: SparkSession, d: str) -> DataFrame:
     chunks = library.chunks(spark, d)
     cases = _cases(spark, d).where("quality = 'validated'").select((F.col("chunk_id") * 10 + F.col("n")).alias("case_id"), "query", "chunk_id", "doc", "section", "chunk_type", F.slice("anchors", 1, 4).alias("terms"))
-    near = chunks.select("doc", F.col("chunk_id").alias("x"))
-    met = cases.select("case_id", "doc", "chunk_id").join(near, "doc").where("x between chunk_id and chunk_id + 200")
-    hits = R.ranked(met.select(F.col("case_id").alias("query_id"), F.col("x").alias("chunk_id"), (-F.abs(F.col("x") - F.col("chunk_id") - 3)).alias("score")), 5)
-    return E.judged(cases, hits.withColumnRenamed("query_id", "case_id"), chunks)
+    cases = written(cases, "cases")
+    every = R.postings(chunks).withColumn("scope", F.lit("all"))
+    hits = R.lexical(written(every, "postings"), cases.select(F.col("case_id").alias("query_id"), F.lit("all").alias("scope"), "query"), chunks).where("rank <= 5")
+    return E.judged(cases, hits.select(F.col("query_id").alias("case_id"), "chunk_id", "score", "rank"), chunks)
 
 
 @query(f"WITH {JUDGED} SELECT * FROM j")
@@ -137,7 +139,8 @@ def parse_checks(spark: SparkSession, d: str) -> DataFrame:
 
 _TERMS = lambda x: f"list_distinct(list_filter({S.tokens(x)}, lambda t: length(t) >= 3 AND t NOT IN {S.listed(T.STOPWORDS)}))"
 _MODELS = lambda x: f"list_distinct(regexp_extract_all({x}, {S.quoted(T.MODEL)}))"
-PAIRS = f"""{CHUNKS}, q AS ({library.QUESTIONS_SQL}), y0 AS (SELECT query_id, query, chunk_id, doc, title, section, chunk_type, content, identifier_tokens, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) AS rank FROM q JOIN c ON chunk_id BETWEEN query_id * 3 AND query_id * 3 + 11),
+PAIRS = f"""{C.SEARCHES}, y0 AS (SELECT a.query_id, a.query, c.chunk_id, doc, title, section, c.chunk_type, content, identifier_tokens, page_from, page_to, lx.score, lx.rank
+    FROM lx JOIN a ON a.query_id = lx.query_id JOIN c ON c.chunk_id = lx.chunk_id WHERE lx.scope = 'all' AND lx.rank <= 12),
   y1 AS (SELECT *, {_TERMS('query')} AS terms, trim(content) AS evidence, {_MODELS('query')} AS asked, {_MODELS("content || ' ' || array_to_string(identifier_tokens, ' ')")} AS own FROM y0),
   y2 AS (SELECT *, len(list_intersect(terms, {_TERMS('evidence')})) AS shared, [regexp_extract(m, {S.quoted(T.SERIES)}, 1) for m in list_filter(asked, lambda m: regexp_matches(m, {S.quoted(T.SERIES)}) AND regexp_matches(lower(query), '\\b(series|family)\\b'))] AS series FROM y1),
   y3 AS (SELECT *, chunk_type = 'table_record' AND len(asked) > 0 AND len(own) > 0 AND len(list_filter(own, lambda m: list_contains(asked, m) OR len(list_filter(series, lambda s: starts_with(m, s))) > 0)) = 0 AS conflict FROM y2),
@@ -147,10 +150,11 @@ PAIRS = f"""{CHUNKS}, q AS ({library.QUESTIONS_SQL}), y0 AS (SELECT query_id, qu
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    chunks = library.chunks(spark, d).select("chunk_id", "doc", "title", "section", "chunk_type", "content", "identifier_tokens").withColumn("context_window", F.lit(None).cast("string"))
-    wanted = library.questions(spark, d).withColumn("chunk_id", F.explode(F.sequence(F.col("query_id") * 3, F.col("query_id") * 3 + 11)))
-    near = wanted.join(chunks, "chunk_id").withColumn("score", -F.col("chunk_id"))
-    return A.relevance(R.ranked(near, 12))
+    chunks, asked = library.chunks(spark, d), library.questions(spark, d)
+    every = R.postings(chunks).withColumn("scope", F.lit("all"))
+    hits = R.lexical(written(every, "postings"), asked.withColumn("scope", F.lit("all")), chunks).where("rank <= 12").select("query_id", "chunk_id", "score", "rank")
+    told = chunks.select("chunk_id", "doc", "title", "section", "chunk_type", "content", "identifier_tokens", "page_from", "page_to").withColumn("context_window", F.lit(None).cast("string"))
+    return A.relevance(hits.join(asked, "query_id").join(told, "chunk_id"))
 
 
 @query(f"WITH {PAIRS} SELECT query_id, chunk_id, rank, verdict FROM y")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import questions as Q
+from tessera.operators.topk import best_matches
 
 # Parameters of BM25, fusion and bonuses.
 K1, B, FUSION = 1.5, 0.75, 60
@@ -72,7 +73,7 @@ def lexical(found: DataFrame, asked: DataFrame, chunks: DataFrame, limit: int =
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     weighed = words.join(df, ["scope", "token"]).join(F.broadcast(total), "scope").select("scope", "token", "chunk_id", "chunk_type", weight.alias("w"), "bonus")
-    met = weighed.join(tokens, ["scope", "token"]).groupBy("query_id", "scope", "chunk_id", "chunk_type").agg(F.sum(F.col("w") * F.col("times") + F.col("bonus")).alias("score"))
+    met = best_matches(weighed, tokens, "chunk_id", limit, STRUCTURED_BONUS).join(whole.select("scope", "chunk_id", "chunk_type"), ["scope", "chunk_id"])
     met = met.withColumn("score", F.col("score") + F.when(F.col("chunk_type").isin(STRUCTURED), STRUCTURED_BONUS).otherwise(0.0))
     best = ranked(met.select("query_id", "scope", "chunk_id", "score"), limit, ["scope"]).drop("rank")
     first = Window.partitionBy("scope").orderBy("chunk_id")
@@ -152,8 +153,8 @@ def documents_chosen(chunks: DataFrame, asked: DataFrame, limit: int = 5) -> Dat
     return stages_joined({"metadata_dense": top(dense), "metadata_sparse": top(sparse)}, "doc", limit)
 
 
-def bm25(rows: DataFrame, asked: DataFrame, key: str) -> DataFrame:
-    """(query_id, key, score) of rows (key, tokens) that share a token with a question."""
+def bm25(rows: DataFrame, asked: DataFrame, key: str, limit: int | None = None) -> DataFrame:
+    """(query_id, key, score) of rows (key, tokens) that share a token with a question; with limit, of its best ones at least."""
     tokens = asked.select("query_id", F.explode(T.tokens(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
     sized = rows.where("size(tokens) > 0").withColumn("length", F.size("tokens"))
     total = sized.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
@@ -161,7 +162,11 @@ def bm25(rows: DataFrame, asked: DataFrame, key: str) -> DataFrame:
     df = tf.groupBy("token").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    return tf.join(df, "token").join(F.broadcast(total), F.lit(True)).select(key, "token", weight.alias("w")).join(tokens, "token").groupBy("query_id", key).agg(F.sum(F.col("w") * F.col("times")).alias("score"))
+    weighed = tf.join(df, "token").join(F.broadcast(total), F.lit(True)).select(key, "token", weight.alias("w"))
+    if limit is None:
+        return weighed.join(tokens, "token").groupBy("query_id", key).agg(F.sum(F.col("w") * F.col("times")).alias("score"))
+    one = F.lit(0).alias("scope")
+    return best_matches(weighed.select(one, "token", key, "w", F.lit(0.0).alias("bonus")), tokens.select("*", one), key, limit).select("query_id", key, "score")
 
 
 def _within(terms: Column, text: Column) -> Column:
