@@ -241,16 +241,29 @@ class Graph:
             cols = {"query": old.column("query"), "q": old.column("q")} | {c: pa.ListArray.from_arrays(edges(of), v) for c, (of, v) in lists.items()}
             return pa.table({c: cols[c] for c in schema.names})
 
+        def unmet(old: pa.Table, new: pa.Table) -> pa.Table:
+            """The wanted pairs of one block of queries that have not been measured."""
+            query, ids = old.column("query").to_numpy(), new.column("id").to_numpy()
+            held = old.column("met").combine_chunks()
+            met = held.flatten().to_numpy()
+            order = np.argsort(query)
+            to = order[np.searchsorted(query[order], new.column("query").to_numpy())] if new.num_rows else np.zeros(0, np.int64)
+            names, code = np.unique(np.concatenate([met, ids]), return_inverse=True)
+            key = np.concatenate([np.repeat(np.arange(len(query)), held.value_lengths().to_numpy()), to]) * len(names) + code
+            fresh = ~np.isin(key[len(met) :], key[: len(met)])
+            return pa.table({"query": new.column("query").filter(pa.array(fresh)), "id": new.column("id").filter(pa.array(fresh))})
+
+        blocks = lambda rows: rows.withColumn("part", part).groupBy("part")
         self.searched = 0
         while True:
             if self.searched == GUARD:
                 raise RuntimeError("search did not end")
             self.searched += 1
             # each pair is measured once
-            fresh = wanted if not self.searched - 1 else wanted.join(state.select("query", F.explode("met").alias("id")), ["query", "id"], "left_anti")
-            measured = fresh.join(self.nodes.withColumnRenamed("node", "id"), "id").withColumn("part", part)
+            fresh = wanted if self.searched == 1 else blocks(state.select("query", "met")).cogroup(blocks(wanted.toDF("query", "id"))).applyInArrow(unmet, "query long, id long")
+            measured = fresh.join(self.nodes.withColumnRenamed("node", "id"), "id")
             measured = measured.toDF(*measured.columns)  # columns of its own, apart from those of state
-            after = written(state.withColumn("part", part).groupBy("part").cogroup(measured.groupBy("part")).applyInArrow(advance, schema), "search")
+            after = written(blocks(state).cogroup(blocks(measured)).applyInArrow(advance, schema), "search")
             if self.searched > 1:
                 discard(state)
             state = after
