@@ -35,15 +35,27 @@ def relevance(hits: DataFrame) -> DataFrame:
     return hits.withColumn("verdict", found)
 
 
-def merged_verdicts(hits: DataFrame, judged: DataFrame) -> DataFrame:
-    """hits with a verdict of their own, and those of a model (query_id, chunk_id, verdict) in its place where it gave a known one; source says which."""
-    order = Window.partitionBy("query_id", "chunk_id").orderBy(F.monotonically_increasing_id())
+def merged_verdicts(hits: DataFrame, judged: DataFrame, order_by: str = "place") -> DataFrame:
+    """hits with a verdict of their own, and those of a model (query_id, chunk_id, verdict) in its place where it gave a known one; source says which.
+
+    Of several verdicts on a hit the first in the order of order_by counts, if there is such a column, then by the verdict's name.
+    """
+    order = Window.partitionBy("query_id", "chunk_id").orderBy(*([order_by] if order_by in judged.columns else []), "verdict")
     clean = judged.where("chunk_id is not null").withColumn("_n", F.row_number().over(order)).where("_n = 1").select("query_id", "chunk_id", F.lower(F.trim("verdict")).alias("_given"))
     both = hits.join(clean, ["query_id", "chunk_id"], "left")
     known = F.coalesce(F.col("_given").isin(VERDICTS), F.lit(False)) & ~model_conflict(F.col("query"))
     return both.withColumn("source", F.when(known, "model").otherwise("terms")).withColumn("verdict", F.when(known, F.col("_given")).otherwise(F.col("verdict"))).drop("_given")
 
 
+def verdict_faults(hits: DataFrame, judged: DataFrame) -> DataFrame:
+    """(query_id, missing, invalid): required hits without a known verdict, and what was judged though no such hit was asked for, sorted."""
+    known = F.coalesce(F.lower(F.trim("verdict")).isin(VERDICTS), F.lit(False))
+    given = judged.where(F.col("chunk_id").isNotNull()).groupBy("query_id", "chunk_id").agg(F.max(known).alias("known"))
+    both = hits.select("query_id", "chunk_id", F.lit(True).alias("asked")).join(given, ["query_id", "chunk_id"], "full")
+    ids = lambda fits: F.array_sort(F.collect_list(F.when(fits, F.col("chunk_id"))))
+    return both.groupBy("query_id").agg(ids(F.col("asked").isNotNull() & ~F.coalesce("known", F.lit(False))).alias("missing"), ids(F.col("asked").isNull()).alias("invalid"))
+
+
 def prioritised(hits: DataFrame, limit: int = 8) -> DataFrame:
     """The first limit hits of each question: relevant ones by rank, then potentially relevant ones; all by rank if there are neither."""
     kind = F.when(F.col("verdict") == "relevant", 0).when(F.col("verdict") == "potentially_relevant", 1)

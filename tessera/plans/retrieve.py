@@ -72,3 +72,26 @@ def retrieve(chunks: DataFrame, questions: DataFrame, limit: int = 10) -> DataFr
     final = R.assembled(R.deduplicated(R.reranked(R.enriched(chosen, chunks))), chunks, limit)
     documents = R.documents_chosen(chunks, questions).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc"))), lambda x: x["doc"].cast("string")).alias("documents"))
     return final.join(documents, "query_id", "left").select("query_id", "rank", "chunk_id", "score", "chunk_type", "context_window", "parent_context", "documents")
+
+
+def trace(chunks: DataFrame, analysis: DataFrame, top: int = 5) -> DataFrame:
+    """(query_id, stage, rank, chunk_id, score, kept, lost): the first hits of every stage of a retrieval.
+
+    kept is how many hits a stage has; lost, from the stages after fusion on, how many of the stage before are not among
+    them. Each stage is made once, a table, and the next one reads it.
+    """
+    lists = [written(hits.select("query_id", "chunk_id", "score", "rank"), "hits") for hits in candidates(chunks, analysis)]
+    stages = dict(zip(("dense", "sparse", "table", "special"), lists, strict=True))
+    stages["fused"] = written(R.fused(lists), "fused")
+    stages["family_scored"] = written(R.family_scored(told(stages["fused"], chunks, analysis)), "scored")
+    stages["query_aligned"] = written(R.aligned(R.completed(stages["family_scored"])), "aligned")
+    stages["family_selected"] = written(R.family_selected(stages["query_aligned"]), "selected")
+    stages["reranked"] = written(R.reranked(R.enriched(stages["family_selected"], chunks)), "reranked")
+    every = None
+    for k, (name, hits) in enumerate(stages.items()):
+        own = hits.select("query_id", F.lit(name).alias("stage"), F.lit(k).alias("n"), "chunk_id", "rank", "score")
+        every = own if every is None else every.unionByName(own)
+    kept = every.groupBy("query_id", "n").agg(F.count("*").alias("kept"))
+    after = every.select("query_id", "chunk_id", (F.col("n") - 1).alias("n"), F.lit(True).alias("stays"))
+    gone = every.where("n >= 4").join(after, ["query_id", "chunk_id", "n"], "left").groupBy("query_id", (F.col("n") + 1).alias("n")).agg(F.count_if(F.col("stays").isNull()).alias("lost"))
+    return every.where(F.col("rank") <= top).join(kept, ["query_id", "n"]).join(gone, ["query_id", "n"], "left").drop("n")
