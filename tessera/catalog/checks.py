@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from tessera.operators import answers as A
 from tessera.operators import evaluation as E
 from tessera.operators import metadata as M
 from tessera.operators import retrieval as R
+from tessera.plans import scoped
 from tessera.sources import library, manuals
 from tessera.sources.interim import written
 from tessera.sources.tables import table
@@ -63,8 +66,10 @@ def benchmark_cases(spark: SparkSession, d: str) -> DataFrame:
     return _cases(spark, d).select("chunk_id", "n", "query", "method", "specificity", "affinity", "quality")
 
 
+#: Search by words within documents: the scope of a chunk is its document.
+_WITHIN_DOCUMENTS = re.sub(r"p AS \(SELECT p2\.\*, scope FROM p2 JOIN sc ON .*\),\n", "p AS (SELECT p2.*, c.doc AS scope FROM p2 JOIN c ON c.chunk_id = p2.chunk_id),\n", C.LEXICAL)
 _HITS = f"""{ASKED}, ca AS (SELECT chunk_id * 10 + n AS case_id, query, chunk_id, doc, section, chunk_type, list_slice(anchors, 1, 4) AS terms FROM v WHERE quality = 'validated'),
-  sc AS (SELECT 'all' AS scope, NULL AS types, '' AS version), qs AS (SELECT case_id AS query_id, query, 'all' AS scope FROM ca), {C.LEXICAL}, h0 AS (SELECT query_id AS case_id, chunk_id, rank FROM lx WHERE rank <= 5)"""
+  qs AS (SELECT case_id AS query_id, query, doc AS scope FROM ca), {_WITHIN_DOCUMENTS}, h0 AS (SELECT query_id AS case_id, chunk_id, rank FROM lx WHERE rank <= 5)"""
 
 
 def _has(term: str) -> str:
@@ -88,9 +93,11 @@ def _judged(spark: SparkSession, d: str) -> DataFrame:
     chunks = library.chunks(spark, d)
     cases = _cases(spark, d).where("quality = 'validated'").select((F.col("chunk_id") * 10 + F.col("n")).alias("case_id"), "query", "chunk_id", "doc", "section", "chunk_type", F.slice("anchors", 1, 4).alias("terms"))
     cases = written(cases, "cases")
-    every = R.postings(chunks).withColumn("scope", F.lit("all"))
-    hits = R.lexical(written(every, "postings"), cases.select(F.col("case_id").alias("query_id"), F.lit("all").alias("scope"), "query"), chunks).where("rank <= 5")
-    return E.judged(cases, hits.select(F.col("query_id").alias("case_id"), "chunk_id", "score", "rank"), chunks)
+    # each case is asked within its document
+    within = written(chunks.select(F.col("doc").alias("scope"), "chunk_id"), "members")
+    asked = cases.select(F.col("case_id").alias("query_id"), "query", F.col("doc").alias("scope"))
+    told = scoped.lexical_within(written(R.postings(chunks), "postings"), within, asked, 5).withColumnRenamed("query_id", "case_id")
+    return E.judged(cases, told.select("case_id", "chunk_id", "score", "rank"), chunks)
 
 
 @query(f"WITH {JUDGED} SELECT * FROM j")
@@ -108,12 +115,14 @@ def evaluation_summary(spark: SparkSession, d: str) -> DataFrame:
     return E.summary(_judged(spark, d))
 
 
-@query(f"""WITH {JUDGED}, r AS (SELECT chunk_type, count(*) AS total, count_if(passed) AS passed FROM j GROUP BY chunk_type), o AS (SELECT sum(total) AS total, sum(passed) AS passes, coalesce(sum(passed) FILTER (WHERE chunk_type = 'atomic_text') / greatest(sum(total) FILTER (WHERE chunk_type = 'atomic_text'), 1), 0) AS atomic_rate,
+@query(f"""WITH {JUDGED}, va AS (SELECT chunk_type, count_if(quality = 'validated') / count(*) AS validity FROM v GROUP BY chunk_type),
+  r AS (SELECT j.chunk_type, count(*) AS total, count_if(passed) AS passed, any_value(va.validity) AS validity FROM j JOIN va ON va.chunk_type = j.chunk_type GROUP BY j.chunk_type), o AS (SELECT sum(total) AS total, round(sum(validity * total) / sum(total), 4) AS validity, sum(passed) AS passes, coalesce(sum(passed) FILTER (WHERE chunk_type = 'atomic_text') / greatest(sum(total) FILTER (WHERE chunk_type = 'atomic_text'), 1), 0) AS atomic_rate,
   coalesce(min(passed / total) FILTER (WHERE chunk_type IN ('spec_record', 'table_record', 'procedure_record')), 0) AS structured_rate FROM r)
-  SELECT CAST(total AS BIGINT) AS total, CAST(passes AS BIGINT) AS passes, round(passes / total, 4) AS pass_rate, CAST(1 AS DOUBLE) AS validity, round(atomic_rate, 6) AS atomic_rate, round(structured_rate, 6) AS structured_rate, round(passes / total, 4) >= 0.7 AND atomic_rate >= 0.6 AND structured_rate >= 0.75 AS ready FROM o""")
+  SELECT CAST(total AS BIGINT) AS total, CAST(passes AS BIGINT) AS passes, round(passes / total, 4) AS pass_rate, validity, round(atomic_rate, 6) AS atomic_rate, round(structured_rate, 6) AS structured_rate, round(passes / total, 4) >= 0.7 AND validity >= 0.95 AND atomic_rate >= 0.6 AND structured_rate >= 0.75 AS ready FROM o""")
 def readiness_gates(spark: SparkSession, d: str) -> DataFrame:
-    runs = _judged(spark, d).groupBy("chunk_type").agg(F.count("*").alias("total"), F.count_if("passed").alias("passed")).withColumn("validity", F.lit(1.0))
-    return E.gates(runs)
+    valid = _cases(spark, d).groupBy("chunk_type").agg((F.count_if(F.col("quality") == "validated") / F.count("*")).alias("validity"))
+    runs = _judged(spark, d).groupBy("chunk_type").agg(F.count("*").alias("total"), F.count_if("passed").alias("passed"))
+    return E.gates(runs.join(valid, "chunk_type"))
 
 
 _V = S.quoted(T.VALUE.split("|", 1)[1])
@@ -194,7 +203,8 @@ def _grounded(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
         "settings": F.when(text.contains(" Set "), F.array(text)).otherwise(F.array().cast("array<string>")), "part_numbers": F.array(F.concat(F.lit("X_"), F.col("ordinal").cast("string"))),
     }
     values = blocks.select("doc", F.col("ordinal").alias("seq"), F.inline(F.concat(*(one(f, v) for f, v in fields.items()))))
-    return M.listed(M.kept(values.join(whole, "doc"))), whole
+    sources = written(whole.select("doc", "filename", M.source_of(F.col("filename"), F.col("text")).alias("source")), "sources")
+    return M.listed(M.kept(values.join(sources, "doc"))), whole
 
 
 @query(f"WITH {GROUNDED} SELECT doc, field, len(found) AS n, array_to_string(list_slice(found, 1, 5), '|') AS first_values FROM fi")

@@ -21,8 +21,17 @@ def grounded(value: Column, source: Column) -> Column:
     return (T.folded(value) != "") & T.folded(source).contains(T.folded(value))
 
 
+def source_of(filename: Column, text: Column) -> Column:
+    """What values of a document must be part of, but for case and white space."""
+    return T.folded(T.source_text(filename, text))
+
+
 def kept(rows: DataFrame) -> DataFrame:
-    """The rows (filename, text, field, value) whose values the source bears out and the rules of their field allow."""
+    """The rows (filename, text, field, value) whose values the source bears out and the rules of their field allow.
+
+    A column source, as source_of gives it, stands in the place of text where there is one, so that no row carries a whole document.
+    """
+    source = F.col("source") if "source" in rows.columns else source_of(F.col("filename"), F.col("text"))
     v, low, field = F.trim("value"), F.lower(F.trim("value")), F.col("field")
     stem = F.lower(F.regexp_replace("filename", r"\.[^.]*$", ""))
     words = F.size(T.words(v))
@@ -35,12 +44,15 @@ def kept(rows: DataFrame) -> DataFrame:
     bad = against[0]
     for rule in against[1:]:
         bad = bad | rule
-    return rows.where(~F.coalesce(bad, F.lit(True)) & grounded(F.col("value"), T.source_text(F.col("filename"), F.col("text"))))
+    own = T.folded(F.col("value"))
+    return rows.where(~F.coalesce(bad, F.lit(True)) & (own != "") & source.contains(own))
 
 
 def listed(rows: DataFrame) -> DataFrame:
     """(doc, field, found): the values of every field in their order (seq), without those equal to an earlier one but for case."""
-    return rows.groupBy("doc", "field").agg(T.first_seen(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.trim("value").alias("value")))), lambda x: x["value"])).alias("found"))
+    clean = rows.select("doc", "field", F.struct("seq", F.trim("value").alias("value")).alias("v"))
+    first = clean.groupBy("doc", "field", F.lower("v.value").alias("low")).agg(F.min("v").alias("v"))
+    return first.groupBy("doc", "field").agg(F.transform(F.array_sort(F.collect_list("v")), lambda x: x["value"]).alias("found"))
 
 
 def resolved(scalars: DataFrame, lists: DataFrame) -> DataFrame:
