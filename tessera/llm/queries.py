@@ -93,5 +93,25 @@ ORACLE_SQL: dict[str, str] = {
   f AS (SELECT p.host, p.path, r.rule, r.verdict, row_number() OVER (PARTITION BY p.host, p.path ORDER BY length(r.rule) DESC, r.rule) AS k
     FROM (SELECT DISTINCT host, path FROM p) p, r WHERE (p.host = r.rhost OR ends_with(p.host, '.' || r.rhost)) AND starts_with(p.path, r.rpath))
   SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, CASE WHEN {_PATTERNS.replace("host", "p.host").replace("path", "p.path")} THEN 'block' ELSE 'allow' END) AS verdict
-  FROM p LEFT JOIN f ON f.host = p.host AND f.path = p.path AND f.k = 1"""
+  FROM p LEFT JOIN f ON f.host = p.host AND f.path = p.path AND f.k = 1""",
+    # windows of 20 words, the first of each stays
+    "op11_substring_dedup": """WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id NULLS LAST, text) AS r, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words FROM documents),
+  p AS (SELECT r, unnest(range(1, len(words) - 18)) AS s FROM d WHERE len(words) >= 20), k AS (SELECT p.r, s, array_to_string(words[s:s + 19], ' ') AS said FROM p JOIN d ON d.r = p.r),
+  o AS (SELECT r, s, row_number() OVER (PARTITION BY said ORDER BY r, s) AS n FROM k), h AS (SELECT DISTINCT r, s + i AS spot FROM o, range(20) t(i) WHERE n > 1),
+  g AS (SELECT r, list(spot) AS hit FROM h GROUP BY r), f AS (SELECT d.doc_id, words, coalesce(hit, []) AS hit FROM d LEFT JOIN g ON g.r = d.r),
+  y AS (SELECT doc_id, len(words) AS n_words, len(hit) AS n_removed, CASE WHEN len(hit) = 0 THEN words ELSE list_filter(words, lambda w, i: NOT list_contains(hit, i)) END AS kept FROM f)
+  SELECT doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM y""",
+    # phrases up to four words, counted one by one
+    "op12_collocation_mining": """WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+  p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM d), w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM p),
+  t AS (SELECT lang, sum(len(ws)) AS n FROM w GROUP BY lang),
+  e AS (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(ws) >= k),
+  f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS a FROM (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM e) GROUP BY lang, k, phrase HAVING count(*) >= 30),
+  c AS MATERIALIZED (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+  q AS MATERIALIZED (SELECT lang, phrase, k, a, j, array_to_string(ws[1:j], ' ') AS lp, array_to_string(ws[j + 1:], ' ') AS rp FROM c, range(1, 4) x(j) WHERE j < k),
+  u AS (SELECT q.*, l.a AS l, r.a AS r, (2000000 * CAST(q.a AS HUGEINT)) // (l.a + r.a) AS score FROM q JOIN f l ON l.lang = q.lang AND l.phrase = lp JOIN f r ON r.lang = q.lang AND r.phrase = rp),
+  b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS n FROM u) WHERE n = 1),
+  s AS (SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, max(a) AS longer FROM c, range(2, 4) x(m), range(1, 4) y(i) WHERE m < k AND i + m - 1 <= k GROUP BY ALL),
+  v AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank FROM b LEFT JOIN s ON s.lang = b.lang AND s.phrase = b.phrase WHERE longer IS NULL OR 100 * longer < 80 * a)
+  SELECT v.lang, rank, phrase, a, l, r, CAST(t.n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM v JOIN t ON t.lang = v.lang WHERE rank <= 2000""",
 }

@@ -190,7 +190,7 @@ class Trie:
         tops = tops.select(F.col("c").alias("conv"), "above", F.xxhash64("p1", "p2").alias("top"))
         light = self.nodes.where(F.col("below") <= self.shard_rows).join(tops, "conv")
         light = written(light, "light")
-        shards = 1 + light.count() // self.shard_rows
+        shards = 1 + light.count() // max(1, self.shard_rows)
         self.light = light.withColumn("shard", F.pmod("top", F.lit(shards)).cast("int"))
 
     def tries(self) -> DataFrame:
