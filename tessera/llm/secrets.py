@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,32 @@ SPANS = "array<struct<start:int,kind:int,finish:int>>"
 LEDGER_SCHEMA = f"sha string, rule_version string, spans {SPANS}"
 
 
+#: Items folded together before what they give joins the rest, and code points in a piece of a text.
+RUN, PIECE = 256, 256
+
+
+def _run(items: Column, kind: str, step: Callable[[Column, Column], Column], finish: Callable[[Column, Column], Column]) -> Column:
+    """finish(at, found) of a running sum at and a growing array found (of type kind) that step folds items into.
+
+    Items go through it in runs of RUN, so that each copies short arrays alone: time is in proportion to the items.
+    """
+
+    def over(bound: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor(F.size(bound) / RUN).cast("int"))
+
+        def run(acc: Column, k: Column) -> Column:
+            return F.aggregate(
+                F.slice(bound, k * RUN + 1, F.lit(RUN)), F.struct(acc["at"].alias("at"), F.array().cast(kind).alias("found")), step,
+                lambda r: F.struct(r["at"].alias("at"), F.concat(acc["lists"], F.array(r["found"])).alias("lists")),
+            )
+
+        empty = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("lists"))
+        return F.aggregate(starts, empty, run, lambda acc: finish(acc["at"], F.flatten(acc["lists"])))
+
+    # an array of one binds items, which would be made anew for each run otherwise
+    return F.get(F.transform(F.array(items), over), F.lit(0))
+
+
 def _spans(text: Column, kind: int, rule: tuple[str, str, int, int]) -> Column:
     """All leftmost non-overlapping matches of a rule as (start, kind, finish), code points, finish exclusive.
 
@@ -40,7 +68,7 @@ def _spans(text: Column, kind: int, rule: tuple[str, str, int, int]) -> Column:
         more = F.concat(acc["found"], F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), finish.alias("finish"))))
         return F.struct(finish.alias("at"), F.when(F.length(x["2"]) >= least, more).otherwise(acc["found"]).alias("found"))
 
-    found = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("found")), step)["found"]
+    found = _run(parts, SPANS, step, lambda _, found: found)
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPANS))
 
 
@@ -100,12 +128,23 @@ def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def redacted(text: Column, spans: Column, mask: str = "[REDACTED]") -> Column:
-    """text with every stretch that spans cover (sorted by start) replaced by mask, overlapping ones together."""
-    start = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
+    """text with every stretch that spans cover (sorted by start) replaced by mask, overlapping ones together; null if either is.
+
+    What stays is put together from pieces of the text, as finding a place in a long text takes time with its distance.
+    """
+    gap = lambda start, end: F.struct(start.alias("start"), end.alias("finish"))
 
     def step(acc: Column, s: Column) -> Column:
         apart = s["start"] >= acc["at"]
-        more = F.concat(acc["done"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))
-        return F.struct(F.when(apart, more).otherwise(acc["done"]).alias("done"), F.greatest(acc["at"], s["finish"]).alias("at"))
+        more = F.concat(acc["found"], F.array(gap(acc["at"], s["start"])))
+        return F.struct(F.greatest(acc["at"], s["finish"]).alias("at"), F.when(apart, more).otherwise(acc["found"]).alias("found"))
+
+    gaps = _run(spans, "array<struct<start:int,finish:int>>", step, lambda at, found: F.concat(found, F.array(gap(at, F.greatest(at, F.length(text))))))
+    pieces = F.regexp_extract_all(text, F.lit(rf"[\s\S]{{1,{PIECE}}}"), F.lit(0))
+
+    def kept(pieces: Column, g: Column) -> Column:
+        first, last = (F.floor(c / PIECE).cast("int") for c in (g["start"], g["finish"]))
+        return F.substr(F.array_join(F.slice(pieces, first + 1, last - first + 1), ""), g["start"] - first * PIECE + 1, g["finish"] - g["start"])
 
-    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["done"], F.substr(text, acc["at"] + 1, F.length(text))))
+    whole = F.transform(F.array(F.struct(pieces.alias("pieces"), gaps.alias("gaps"))), lambda b: F.array_join(F.transform(b["gaps"], lambda g: kept(b["pieces"], g)), mask))
+    return F.when(text.isNotNull() & spans.isNotNull(), F.get(whole, F.lit(0)))
