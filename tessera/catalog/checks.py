@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 
 from tessera.catalog import retrieval as C
 from tessera.catalog import sqltext as S
-from tessera.catalog.nodes import NORMALISED, _normal
+from tessera.catalog.nodes import NORMALISED, _normal, nodes_sql
 from tessera.catalog.registry import query
 from tessera.catalog.retrieval import CHUNKS
 from tessera.functions import text as T
 from tessera.operators import answers as A
 from tessera.operators import evaluation as E
+from tessera.operators import health as H
 from tessera.operators import metadata as M
 from tessera.operators import retrieval as R
+from tessera.operators import structure as P
 from tessera.plans import scoped
 from tessera.sources import library, manuals
 from tessera.sources.interim import written
@@ -128,15 +130,60 @@ def readiness_gates(spark: SparkSession, d: str) -> DataFrame:
 _V = S.quoted(T.VALUE.split("|", 1)[1])
 
 
-@query(rf"""WITH b AS ({manuals.BLOCKS_SQL}), k AS (SELECT doc, ordinal, trim(text) AS x, {S.tokens('trim(text)')} AS t, lower(trim(text)) AS low FROM b),
-  f AS (SELECT *, len(t) AS n_tokens, len(list_filter(t, lambda y: regexp_matches(y, '[a-z]'))) AS lettered, len(list_filter(t, lambda y: regexp_matches(y, '\d'))) AS digits, regexp_matches(low, {_V}) AS has_value, {S.like('low', T.URL)} AS url_like, {S.like('low', T.PAGE_MARK)} AS page_marker,
+def flags_sql(source: str, text: str, structured: str) -> str:
+    """Common table expressions up to g: flags of the texts of a source."""
+    return rf"""k AS (SELECT *, {structured} AS structured, trim({text}) AS x, {S.tokens(f'trim({text})')} AS t, lower(trim({text})) AS low FROM {source}),
+  f AS (SELECT *, len(t) AS n_words, len(list_filter(t, lambda y: regexp_matches(y, '[a-z]'))) AS lettered, len(list_filter(t, lambda y: regexp_matches(y, '\d'))) AS digits, regexp_matches(low, {_V}) AS has_value, {S.like('low', T.URL)} AS url_like, {S.like('low', T.PAGE_MARK)} AS page_marker,
     {S.like('low', T.PHONE_WORD)} OR {S.like('x', T.PHONE)} AS contact_like, regexp_matches(low, '\.(?:gif|jpg|jpeg|png|svg|tif|tiff|bmp)\b') AS asset_like, regexp_matches(x, '[.:;]') OR len(t) >= 8 AS sentence FROM k),
-  g AS (SELECT *, x <> '' AND (url_like OR page_marker OR contact_like OR asset_like OR (n_tokens <= 2 AND NOT has_value) OR (lettered <= 1 AND NOT has_value AND NOT sentence) OR (n_tokens > 0 AND digits >= lettered AND NOT has_value)) AS low_information FROM f)
-  SELECT doc, ordinal, n_tokens, has_value, url_like, page_marker, contact_like, asset_like, low_information, low_information AS structured_low, CASE WHEN n_tokens = 0 THEN 0 ELSE round(CAST(CASE WHEN n_tokens >= 5 THEN 0.3 ELSE 0 END + CASE WHEN has_value THEN 0.4 ELSE 0 END
-    + CASE WHEN len(list_filter(t, lambda y: regexp_matches(y, '\d') AND regexp_matches(y, '[a-z]'))) > 0 THEN 0.2 ELSE 0 END + 0.15 - CASE WHEN {S.like('x', T.PHONE)} OR url_like THEN 0.4 ELSE 0 END - CASE WHEN page_marker THEN 0.3 ELSE 0 END AS DOUBLE), 4) END AS signal FROM g""")
+  g0 AS (SELECT *, x <> '' AND (url_like OR page_marker OR contact_like OR asset_like OR (n_words <= 2 AND NOT has_value) OR (lettered <= 1 AND NOT has_value AND NOT sentence) OR (n_words > 0 AND digits >= lettered AND NOT has_value)) AS low_information FROM f),
+  g AS (SELECT *, low_information AND structured AS structured_low, CASE WHEN n_words = 0 THEN 0 ELSE round(CAST(CASE WHEN n_words >= 5 THEN 0.3 ELSE 0 END + CASE WHEN has_value THEN 0.4 ELSE 0 END
+    + CASE WHEN len(list_filter(t, lambda y: regexp_matches(y, '\d') AND regexp_matches(y, '[a-z]'))) > 0 THEN 0.2 ELSE 0 END + CASE WHEN structured THEN 0.15 ELSE 0 END - CASE WHEN {S.like('x', T.PHONE)} OR url_like THEN 0.4 ELSE 0 END - CASE WHEN page_marker THEN 0.3 ELSE 0 END AS DOUBLE), 4) END AS signal FROM g0)"""
+
+
+@query(f"""WITH {nodes_sql(manuals.BLOCKS_SQL)}, {flags_sql('n', 'text', "kind IN ('spec', 'table', 'procedure_step', 'warning', 'caution')")}
+  SELECT doc, ordinal, n_words AS n_tokens, has_value, url_like, page_marker, contact_like, asset_like, low_information, structured_low, signal FROM g""")
 def content_quality(spark: SparkSession, d: str) -> DataFrame:
-    flags = E.quality(F.col("text"), F.lit("spec_record"))
-    return manuals.blocks(spark, d).select("doc", "ordinal", *(c.alias(n) for n, c in flags.items()))
+    """Flags of the nodes of all manuals, each as a chunk of the type that its kind gives."""
+    flags = E.quality(F.col("text"), H.chunk_type_of(F.col("kind")))
+    return P.nodes(manuals.blocks(spark, d)).select("doc", "ordinal", *(c.alias(n) for n, c in flags.items()))
+
+
+_STRUCTURED = f"chunk_type IN {S.listed(H.STRUCTURED)}"
+_ZERO = lambda *names: ", ".join(f"coalesce({x}, 0) AS {x}" for x in names)
+_RATIO = lambda part, whole, scale: f"floor((2 * {scale} * ({part}) + {whole}) / (2 * ({whole}))) / {scale}"
+_PROSE, _SAID = "kind IN ('paragraph', 'note')", "FILTER (WHERE trim(text) <> '')"
+MEASURES = rf"""{nodes_sql(manuals.BLOCKS_SQL)}, {CHUNKS}, {flags_sql('c', 'content', _STRUCTURED)}, dc AS (SELECT doc, max(page) AS page_count FROM b GROUP BY doc),
+  na AS (SELECT doc, page, count(*) AS m FROM n GROUP BY doc, page), nd AS (SELECT doc, count(*) AS node_pages, min(page) AS first_node_page, max(page) AS last_node_page, {_RATIO('sum(m)', 'count(*)', 100)} AS mean_nodes, max(m) AS most_nodes FROM na GROUP BY doc),
+  ca AS (SELECT doc, page_from, count(*) AS m FROM c GROUP BY doc, page_from), cd AS (SELECT doc, count(*) AS chunk_pages, min(page_from) AS first_chunk_page, max(page_from) AS last_chunk_page, {_RATIO('sum(m)', 'count(*)', 100)} AS mean_chunks, max(m) AS most_chunks FROM ca GROUP BY doc),
+  nr AS (SELECT doc, {_RATIO(f'count_if({_PROSE} AND n_tokens <= 3)', f'greatest(count_if({_PROSE}), 1)', 10000)} AS short_ratio, {_RATIO(f'count(*) {_SAID} - count(DISTINCT lower(trim(text))) {_SAID}', f'greatest(count(*) {_SAID}, 1)', 10000)} AS repeat_ratio FROM n GROUP BY doc),
+  cq AS (SELECT doc, count(*) AS n_chunks, CAST(count_if(structured) AS BIGINT) AS n_structured, {_RATIO('count_if(low_information)', 'count(*)', 10000)} AS low_ratio, {_RATIO('count_if(structured_low)', 'greatest(count_if(structured), 1)', 10000)} AS structured_low_ratio,
+    {_RATIO('sum(CAST(round(100 * signal) AS BIGINT))', '100 * count(*)', 10000)} AS signal_mean FROM g GROUP BY doc),
+  ms AS (SELECT dc.doc, page_count, {_ZERO('node_pages')}, first_node_page, last_node_page, {_ZERO('mean_nodes', 'most_nodes', 'chunk_pages')}, first_chunk_page, last_chunk_page, {_ZERO('mean_chunks', 'most_chunks', 'short_ratio', 'repeat_ratio', 'n_chunks', 'n_structured', 'low_ratio', 'structured_low_ratio', 'signal_mean')}
+    FROM dc LEFT JOIN nd ON nd.doc = dc.doc LEFT JOIN cd ON cd.doc = dc.doc LEFT JOIN nr ON nr.doc = dc.doc LEFT JOIN cq ON cq.doc = dc.doc)"""
+
+
+def _measures(spark: SparkSession, d: str) -> DataFrame:
+    blocks = manuals.blocks(spark, d)
+    return H.measures(blocks.groupBy("doc").agg(F.max("page").alias("page_count")), P.nodes(blocks), library.chunks(spark, d))
+
+
+@query(f"WITH {MEASURES} SELECT * FROM ms")
+def stage_measures(spark: SparkSession, d: str) -> DataFrame:
+    return _measures(spark, d)
+
+
+@query(f"""WITH {MEASURES}, er AS (SELECT doc, 'page_provenance' AS check_name, CASE WHEN page_count > 1 AND node_pages <= 1 THEN 'nodes stand on a single page' WHEN node_pages > 0 AND (first_node_page < 1 OR last_node_page > page_count) THEN 'nodes stand outside the pages of the source' END AS error FROM ms
+  UNION ALL SELECT doc, 'fragmentation', CASE WHEN page_count > 1 AND chunk_pages <= 1 THEN 'chunks stand on a single page' WHEN mean_chunks > 40 OR most_chunks > 150 THEN 'too many chunks a page' WHEN page_count > 1 AND short_ratio > 0.45 THEN 'too many short texts' END FROM ms
+  UNION ALL SELECT doc, 'chunk_quality', CASE WHEN low_ratio > 0.35 THEN 'too many chunks say little' WHEN n_structured > 0 AND structured_low_ratio > 0.15 THEN 'too many structured chunks say little' END FROM ms)
+  SELECT doc, check_name, CASE WHEN error IS NULL THEN 'pass' ELSE 'fail' END AS status, error FROM er""")
+def stage_findings(spark: SparkSession, d: str) -> DataFrame:
+    return H.findings(_measures(spark, d))
+
+
+@query(f"""WITH {CHUNKS} SELECT doc, CASE WHEN grouping(level) = 0 THEN 'level ' || CAST(level AS STRING) WHEN grouping(chunk_type) = 0 THEN 'type ' || chunk_type ELSE 'all' END AS grp, count(*) AS n
+  FROM c GROUP BY GROUPING SETS ((doc), (doc, level), (doc, chunk_type))""")
+def chunk_counts(spark: SparkSession, d: str) -> DataFrame:
+    return H.chunk_counts(library.chunks(spark, d))
 
 
 @query(f"""WITH {NORMALISED}, pg AS (SELECT doc, page, count(*) AS n FROM o GROUP BY doc, page), de AS (SELECT doc, count(DISTINCT page) AS n_pages, min(page) AS first_page, max(page) AS last_page, round(avg(n), 6) AS mean_density, max(n) AS most_density FROM pg GROUP BY doc),

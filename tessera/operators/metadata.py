@@ -21,6 +21,24 @@ def grounded(value: Column, source: Column) -> Column:
     return (T.folded(value) != "") & T.folded(source).contains(T.folded(value))
 
 
+def coerced_list(value: Column) -> Column:
+    """The texts of a JSON value: of a list its items that are not blank, of a text itself unless it is blank, else none.
+
+    Items are not trimmed; numbers are as JSON writes them, true, false and null are True, False and None, nested ones JSON.
+    """
+    v, none = F.try_parse_json(value), F.array().cast("array<string>")
+    kind = F.schema_of_variant(v)
+    said = lambda x: F.coalesce(F.when(F.schema_of_variant(x) == "BOOLEAN", F.initcap(F.try_variant_get(x, "$", "string"))), F.try_variant_get(x, "$", "string"), F.lit("None"))
+    items = F.transform(F.try_variant_get(v, "$", "array<variant>"), said)
+    own = F.when(kind == "STRING", F.array(F.try_variant_get(v, "$", "string"))).when(kind.startswith("ARRAY"), items)
+    return F.coalesce(F.filter(own, lambda x: F.trim(x) != ""), none)
+
+
+def coerced_date(value: Column) -> Column:
+    """A date from its text (yyyy-mm-dd); null, empty or no such text is null."""
+    return F.try_to_date(F.when(value.rlike(r"^\d{4}-\d{2}-\d{2}$"), value), "yyyy-MM-dd")
+
+
 def source_of(filename: Column, text: Column) -> Column:
     """What values of a document must be part of, but for case and white space."""
     return T.folded(T.source_text(filename, text))

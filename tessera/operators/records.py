@@ -67,3 +67,9 @@ def states(events: DataFrame, key: str, order: list[str], kind: str, failure: st
     return events.groupBy(key).agg(
         F.count("*").alias("last_index"), F.max_by(kind, F.struct(*order)).alias("state"), F.count_if(F.col(kind) == failure).alias("failures"), F.min(order[0]).alias("first_at"), F.max(order[0]).alias("last_at")
     )
+
+
+def one(rows: DataFrame) -> dict | None:
+    """The first row as a dict, or None if there is none: a single task reads until it has found one."""
+    found = rows.limit(1).collect()
+    return found[0].asDict() if found else None

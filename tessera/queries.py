@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.catalog import checks, layout, nodes, registry, replies, retrieval, scoped, statements, tables, texts, upkeep  # noqa: F401  (they register their queries)
+from tessera.catalog import checks, copies, layout, nodes, registry, replies, retrieval, scoped, statements, tables, texts, upkeep  # noqa: F401  (they register their queries)
 from tessera.catalog import sqltext as S
 from tessera.catalog.registry import query
 from tessera.operators import records, search
