@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,10 +14,11 @@ from tessera.llm._common import LOWER_ASCII, bit_filter, bytes_of, class_table,
 
 #: Frequent tokens that go last in every order; a hint of fixed size, the result does not depend on it.
 FREQUENT = 1 << 17
-#: Tokens are counted in one text of so many, chosen by its name, to find the frequent ones: those in three such texts or more.
+#: Tokens are counted in all texts; those in more than twice so many may be frequent.
 COUNTED = 8
-#: Tokens that a task counts together.
-HELD_TOKENS = 1_000_000
+#: Tokens that a task counts together, and the ranges of tokens (a power of two) by which the counts of all tasks are added up.
+HELD_TOKENS = 500_000
+PARTS = 1 << 12
 #: Members of a bucket up to which one group compares them; larger ones are dealt in pairs of blocks of this size.
 BLOCK = 2_000
 #: Sets that a task remembers, to hand on each only once.
@@ -185,42 +187,78 @@ class Join:
         return (self.body if keyed else self.body.select("text")).mapInArrow(run, schema)
 
     def _describe(self) -> None:
-        """Every row's set size, 128-bit name and group keys; the frequent tokens of the corpus."""
+        """Every row's set size, 128-bit name and group keys; the frequent tokens of the corpus.
+
+        A token's count is the number of texts that have it, equal sets of one task once: as many rows as it may have in buckets.
+        """
         kind = dict(self.body.dtypes)["_key"]
-        n = self.n
-        names = ["_key", "n", "f1", "f2", "k0", "k1", "k2", "token", "times"]
+        n, few = self.n, 2 * COUNTED
+        names = ["_key", "n", "f1", "f2", "k0", "k1", "k2"]
+        shift = np.uint64(64 - PARTS.bit_length() + 1)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             resident()
             once, held, kept, like = _Once(), 0, [], None
 
-            def common() -> pa.RecordBatch:
+            def counts() -> pa.RecordBatch:
                 tokens, times = np.unique(np.concatenate(kept), return_counts=True)
                 kept.clear()
-                none = pa.nulls(len(tokens), pa.int64())
-                return pa.RecordBatch.from_arrays([pa.nulls(len(tokens), like), *[none] * 6, _longs(tokens), _longs(times)], names=names)
+                edge = np.searchsorted(tokens, np.arange(PARTS, dtype=np.uint64) << shift)
+                part = np.flatnonzero(np.diff(edge, append=len(tokens)))
+                cut = np.append(edge[part], len(tokens))
+                packed = (pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer((cut * x.itemsize).astype(np.int32)), pa.py_buffer(x)]) for x in (tokens, times.astype(np.uint32)))
+                return pa.RecordBatch.from_arrays([pa.nulls(len(part), like), *[pa.nulls(len(part), pa.int64())] * 6, pa.array(part.astype(np.int32)), *packed], names=[*names, "part", "tokens", "times"])
 
             for batch in batches:
                 like = batch.schema.field(0).type
                 for part in text_slices(batch):
                     s = Sets(part.column(1), n)
-                    none = pa.nulls(part.num_rows, pa.int64())
-                    yield pa.RecordBatch.from_arrays([part.column(0), _longs(s.sizes), *map(_longs, s.name), *(_longs(s.lowest_pair(k)) for k in range(3)), none, none], names=names)
-                    some = np.flatnonzero(s.name[0] % np.uint64(COUNTED) == 0)
-                    new = np.zeros(part.num_rows, bool)
-                    new[some[once(s.name[0][some])]] = True
-                    kept.append(s.tokens[new[s.of]])
+                    none = pa.nulls(part.num_rows, pa.binary())
+                    anywhere = ((s.name[0] + np.arange(part.num_rows, dtype=np.uint64)) % np.uint64(PARTS)).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([part.column(0), _longs(s.sizes), *map(_longs, s.name), *(_longs(s.lowest_pair(k)) for k in range(3)), pa.array(anywhere), none, none], names=[*names, "part", "tokens", "times"])
+                    kept.append(s.tokens[once(s.name[0])[s.of]])
                     held += len(kept[-1])
                     if held > HELD_TOKENS:
-                        yield common()
+                        yield counts()
                         held = 0
             if kept:
-                yield common()
+                yield counts()
+
+        def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            resident()
+            tokens, times, like = np.zeros(0, np.uint64), np.zeros(0, np.int64), None
+
+            def frequent(tokens: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+                many = times > few
+                none = pa.nulls(int(many.sum()), pa.int64())
+                return pa.RecordBatch.from_arrays([pa.nulls(len(none), like), *[none] * 6, _longs(tokens[many]), _longs(times[many])], names=[*names, "token", "times"])
 
-        both = written(self.body.mapInArrow(run, f"_key {kind}, n long, f1 long, f2 long, k0 long, k1 long, k2 long, token long, times long"), "sets")
+            for batch in batches:
+                like = batch.schema.field(0).type
+                packed = batch.column(8).is_valid()
+                rows, batch = batch.filter(pc.invert(packed)), batch.filter(packed)
+                none = pa.nulls(rows.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([*rows.columns[:7], none, none], names=[*names, "token", "times"])
+                for some in text_slices(batch, "tokens", 8 * HELD_TOKENS):
+                    tokens = np.concatenate([tokens, np.frombuffer(bytes_of(some.column(8))[0].tobytes(), np.uint64)])
+                    times = np.concatenate([times, np.frombuffer(bytes_of(some.column(9))[0].tobytes(), np.uint32)])
+                    order = np.argsort(tokens)
+                    tokens, times = tokens[order], times[order]
+                    first = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
+                    tokens, times = tokens[first], np.add.reduceat(times, first)
+                    # the last range may go on
+                    done = int(np.searchsorted(tokens, tokens[-1] >> shift << shift))
+                    yield frequent(tokens[:done], times[:done])
+                    tokens, times = tokens[done:], times[done:]
+            if len(tokens):
+                yield frequent(tokens, times)
+
+        described = f"_key {kind}, n long, f1 long, f2 long, k0 long, k1 long, k2 long"
+        dealt = self.body.mapInArrow(run, f"{described}, part int, tokens binary, times binary").repartition("part").sortWithinPartitions("part")
+        both = written(dealt.mapInArrow(added, f"{described}, token long, times long"), "sets")
         self.rows = both.where("token is null").select("_key", "n", "f1", "f2")
         self.classes = written(both.where("token is null and n > 0").groupBy("f1", "f2", "n", "k0", "k1", "k2").agg(F.min("_key").alias("least")), "classes")
-        top = both.where("token is not null").groupBy("token").agg((F.sum("times") * COUNTED).alias("times")).where(F.col("times") > 2 * COUNTED).orderBy(F.desc("times"), "token").limit(FREQUENT).toPandas()
+        top = both.where("token is not null").select("token", "times").orderBy(F.desc("times"), "token").limit(FREQUENT).toPandas()
         tokens = top["token"].to_numpy(np.int64).view(np.uint64)
         order = np.argsort(tokens)
         # the most frequent one is the last of all

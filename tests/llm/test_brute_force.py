@@ -270,6 +270,27 @@ def test_hot_tokens_are_dealt_and_links_stay(spark, monkeypatch):
     assert got == part
 
 
+@pytest.mark.parametrize("tasks", [1, 5])
+def test_frequent_tokens_are_counted_in_all_texts(spark, monkeypatch, tasks):
+    import pyarrow as pa
+
+    monkeypatch.setattr(jaccard, "HELD_TOKENS", 200)
+    rng = np.random.default_rng(2)
+    phrases = [" ".join(f"p{k}x{j}" for j in range(5)) for k in range(12)]
+    # phrase k is in 15 + k texts: some with one text more than needed, some with one too few
+    texts = [" ".join([f"t{i}", *(p for k, p in enumerate(phrases) if i < 15 + k), *rng.choice(WORDS, 9), f"e{i}"]) for i in range(40)]
+    rows = [(i, t) for i, t in enumerate(texts)] + ([(100 + i, t) for i, t in enumerate(texts)] if tasks == 1 else []) + [(300, None), (301, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(tasks)
+    join = jaccard.Join(docs, "doc_id", "text", 4, 85)
+    counts = Counter(x for t in texts for x in shingles(t))
+    want = {int(jaccard.Sets(pa.array([" ".join(x)]), 4).tokens[0]): m for x, m in counts.items() if m > 16}
+    (names, ranks), times = join.frequent.value, join.times.value
+    assert len(want) > 20
+    assert dict(zip(names.tolist(), times.tolist(), strict=True)) == want
+    assert [m for _, m in sorted(zip(ranks.tolist(), times.tolist(), strict=True))] == sorted(want.values())
+    assert sorted(join.rows.select("_key", "n").collect()) == sorted((i, len(shingles(t))) for i, t in rows)
+
+
 def shingles(text):
     w = re.findall("[^\x20\x09-\x0d]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
     return {tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if w else set()
