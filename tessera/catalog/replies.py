@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.catalog import checks as K
 from tessera.catalog import sqltext as S
 from tessera.catalog.registry import query
+from tessera.operators import questions as Q
 from tessera.operators import replies as P
 from tessera.sources import manuals
 from tessera.sources.interim import written
@@ -18,8 +19,10 @@ HITS = f"""{K.PAIRS}, hv AS (SELECT *, {_VERSION} AS version_id FROM y)"""
 _SUMMARY = "'[' || CAST(chunk_id AS STRING) || '] ' || substr(content, 1, 40)"
 
 
-def _hits(spark: SparkSession, d: str) -> DataFrame:
-    return written(K._pairs(spark, d).withColumn("version_id", F.expr(_VERSION)), "hits")
+def _hits(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(hits of the different questions, whose questions they are)."""
+    hits, same = K._pairs(spark, d)
+    return written(hits.withColumn("version_id", F.expr(_VERSION)), "hits"), same
 
 
 def _round(before: str, after: str) -> str:
@@ -32,8 +35,9 @@ def _round(before: str, after: str) -> str:
 @query(f"""WITH {HITS}, m0 AS (SELECT query_id, rank AS place, [CAST(chunk_id AS VARCHAR)] AS ids, title, range(page_from, page_to + 1) AS pages, {_SUMMARY} AS summary FROM hv), {_round('m0', 'm1')}, {_round('m1', 'm2')}, {_round('m2', 'm3')}
   SELECT query_id, place, array_to_string(ids, ',') AS chunk_ids, title, array_to_string(pages, ',') AS pages, summary FROM m3""")
 def merged_summaries(spark: SparkSession, d: str) -> DataFrame:
-    own = _hits(spark, d).select("query_id", F.col("rank").alias("place"), "chunk_id", "title", F.sequence("page_from", "page_to").alias("pages"), F.expr(_SUMMARY).alias("summary"))
-    found = P.merged_summaries(own)
+    hits, same = _hits(spark, d)
+    own = hits.select("query_id", F.col("rank").alias("place"), "chunk_id", "title", F.sequence("page_from", "page_to").alias("pages"), F.expr(_SUMMARY).alias("summary"))
+    found = Q.for_all(P.merged_summaries(own), same)
     return found.select("query_id", "place", F.array_join("chunk_ids", ",").alias("chunk_ids"), "title", F.array_join("pages", ",").alias("pages"), "summary")
 
 
@@ -53,7 +57,7 @@ ANSWERS = f"""{HITS}, b AS (SELECT query_id, chunk_id, {_TEXT} AS said FROM hv W
 
 
 def _regular(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    hits = _hits(spark, d)
+    hits = written(Q.for_all(*_hits(spark, d)), "hits")
     payloads = hits.where("rank = 1").withColumn("said", F.expr(_TEXT)).select("query_id", F.expr(_JSON).alias("payload"))
     return P.regular(payloads, hits), hits
 

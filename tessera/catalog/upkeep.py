@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.catalog import retrieval as C
 from tessera.catalog.registry import query
 from tessera.operators import nested, upkeep
+from tessera.operators import questions as Q
 from tessera.operators import retrieval as R
 from tessera.plans import retrieve as plan
 from tessera.sources import library
@@ -70,6 +71,6 @@ _TRACE = " UNION ALL ".join(f"SELECT query_id, '{name}' AS stage, {k} AS n, chun
   SELECT t.query_id, t.stage, t.rank, t.chunk_id, round(t.score, 6) AS score, co.kept, coalesce(CASE WHEN co.n >= 5 THEN (SELECT len(b.ids) - len(list_intersect(b.ids, co.ids)) FROM co b WHERE b.query_id = t.query_id AND b.n = co.n - 1) END, 0) AS lost
   FROM tr t JOIN co ON co.query_id = t.query_id AND co.stage = t.stage WHERE t.rank <= 5""")
 def retrieval_trace(spark: SparkSession, d: str) -> DataFrame:
-    chunks, analysis = library.chunks(spark, d), written(C._analysis(spark, d), "questions")
-    found = plan.trace(chunks, analysis)
+    analysis, same = C._once(spark, d)
+    found = Q.for_all(plan.trace(library.written_chunks(spark, d), analysis), same)
     return found.select("query_id", "stage", "rank", "chunk_id", F.round("score", 6).alias("score"), "kept", F.coalesce("lost", F.lit(0)).alias("lost"))

@@ -17,40 +17,41 @@ def _routes(analysis: DataFrame) -> DataFrame:
     return Q.routes(analysis).where("keyword is null").select("query_id", "route", name.alias("scope"), "chunk_types", "version_signal")
 
 
-def scopes(chunks: DataFrame, analysis: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(postings of every scope; (query_id, scope, query)): all chunks, tables, and the chunk types of each special route."""
-    plain = chunks.sparkSession.createDataFrame([("all", None, None), ("table", ["table_record"], None)], "scope string, chunk_types array<string>, version_signal string")
+def once(questions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(analysis of the different questions, (asked, query_id) of all): what a question gets depends on its text alone."""
+    different, same = Q.asked_once(questions.select("query_id", "query"), ["query"])
+    return written(Q.analysed(different), "questions"), written(same, "same")
+
+
+def scopes(analysis: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((scope, chunk_types, version_signal), (query_id, scope, query)): all chunks, tables, and the chunk types of each special route."""
+    plain = analysis.sparkSession.createDataFrame([("all", None, None), ("table", ["table_record"], None)], "scope string, chunk_types array<string>, version_signal string")
     named = _routes(analysis)
     every = plain.unionByName(named.select("scope", "chunk_types", "version_signal").distinct())
     asked = analysis.select("query_id", "query")
     wanted = asked.withColumn("scope", F.explode(F.array(F.lit("all"), F.lit("table")))).select("query_id", "scope", "query")
-    # a table of postings: chunks are tokenised once
-    return written(R.scoped(R.postings(chunks), every), "postings"), wanted.unionByName(named.select("query_id", "scope").join(asked, "query_id").select("query_id", "scope", "query"))
+    wanted = wanted.unionByName(named.select("query_id", "scope").join(asked, "query_id").select("query_id", "scope", "query"))
+    return written(every, "scopes"), written(wanted, "asked")
 
 
-def special(chunks: DataFrame, analysis: DataFrame, words: DataFrame, limit: int = 40) -> DataFrame:
+def special(analysis: DataFrame, vectors: DataFrame, words: DataFrame, limit: int = 40) -> DataFrame:
     """(query_id, chunk_id, score, best, rank): each special route's vectors and words fused, one route after the other.
 
-    words: lexical hits with the scopes of routes. Ranks go on counting from route to route; a chunk of several routes comes
+    vectors, words: hits with the scopes of routes. Ranks go on counting from route to route; a chunk of several routes comes
     several times. A route for an error code has no list of its own where chunks hold no keywords, as codes are words.
     """
-    named = written(_routes(analysis), "routes")
-    within = R.scoped(chunks.select("chunk_id", "chunk_type", "version_signal"), named.select("scope", "chunk_types", "version_signal").distinct()).select("scope", "chunk_id")
-    vectors, asked = R.hashed_vectors(chunks, "chunk_id", F.col("content")), R.hashed_vectors(analysis, "query_id", F.col("query"))
-    found = S.hashed_within(vectors, written(within, "members"), asked, named.select("query_id", "scope").distinct(), "chunk_id")
-    dense = R.boosted(S.top(found, limit, "chunk_id"), chunks)
-    placed = lambda hits: hits.join(named.select("query_id", "route", "scope"), ["query_id", "scope"])
-    return S.run_on(S.fused_within([placed(dense), placed(words)], limit, ["query_id", "route"], "chunk_id"), ["route"]).drop("route")
+    named = written(_routes(analysis).select("query_id", "route", "scope"), "routes")
+    placed = lambda hits: hits.join(named, ["query_id", "scope"])
+    return S.run_on(S.fused_within([placed(vectors), placed(words)], limit, ["query_id", "route"], "chunk_id"), ["route"]).drop("route")
 
 
 def candidates(chunks: DataFrame, analysis: DataFrame, limit: int = 40) -> list[DataFrame]:
     """Hits of the four searches: hashed vectors, words, tables, and each question's special routes, in that order."""
-    asked = analysis.select("query_id", "query")
-    found, wanted = scopes(chunks, analysis)
-    words = written(R.lexical(found, written(wanted, "asked"), chunks, limit), "hits")
-    tables = R.hashed(chunks.where("chunk_type = 'table_record'"), asked, limit)
-    routed = special(chunks, analysis, words.where("scope not in ('all', 'table')"), limit)
-    return [R.hashed(chunks, asked, limit), words.where("scope = 'all'"), R.fused([tables, words.where("scope = 'table'")], limit), routed]
+    every, wanted = scopes(analysis)
+    vectors, words = (written(search(chunks, wanted, every, limit), "hits") for search in (R.hashed, R.lexical))
+    of = lambda hits, scope: hits.where(F.col("scope") == scope)
+    routed = special(analysis, *(hits.where("scope not in ('all', 'table')") for hits in (vectors, words)), limit)
+    return [of(vectors, "all"), of(words, "all"), R.fused([of(vectors, "table"), of(words, "table")], limit), routed]
 
 
 def told(pool: DataFrame, chunks: DataFrame, analysis: DataFrame) -> DataFrame:
@@ -66,12 +67,13 @@ def retrieve(chunks: DataFrame, questions: DataFrame, limit: int = 10) -> DataFr
     documents are those that the question's metadata search names; they do not narrow the search where scores are equal across
     documents, as here. Chunks' and questions' columns: see retrieval and questions.
     """
-    analysis = written(Q.analysed(questions), "questions")
+    analysis, same = once(questions)
     pool = told(R.fused(candidates(chunks, analysis)), chunks, analysis)
     chosen = R.family_selected(R.aligned(R.completed(R.family_scored(pool))))
     final = R.assembled(R.deduplicated(R.reranked(R.enriched(chosen, chunks))), chunks, limit)
-    documents = R.documents_chosen(chunks, questions).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc"))), lambda x: x["doc"].cast("string")).alias("documents"))
-    return final.join(documents, "query_id", "left").select("query_id", "rank", "chunk_id", "score", "chunk_type", "context_window", "parent_context", "documents")
+    documents = R.documents_chosen(chunks, analysis.select("query_id", "query")).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc"))), lambda x: x["doc"].cast("string")).alias("documents"))
+    found = final.join(documents, "query_id", "left").select("query_id", "rank", "chunk_id", "score", "chunk_type", "context_window", "parent_context", "documents")
+    return Q.for_all(found, same)
 
 
 def trace(chunks: DataFrame, analysis: DataFrame, top: int = 5) -> DataFrame:
