@@ -87,3 +87,25 @@ def test_equal_questions_are_asked_once(spark):
     assert sorted((r.query_id, r.query or "") for r in different.collect()) == [(3, "a"), (4, "b"), (7, "")]
     hits = spark.createDataFrame([(3, 1), (7, 2)], "query_id int, chunk_id int")
     assert sorted(map(tuple, questions.for_all(hits, same).collect())) == [(3, 1), (5, 1), (7, 2), (9, 2)]
+
+
+def test_best_rows_by_rare_and_common_words_are_those_of_all_pairs(spark):
+    own = lambda k: 0.03 * (k % 3 == 0)
+    # word t > 5 is row t's own; the others are held by many alike rows
+    weighed = [(s, t, k, 1.0 + (k * 7 + t * 13 + s) % 4 / 4, 0.1 * (k % 2), own(k)) for s in (0, 1) for k in range(120) for t in [*range(6), 100 + k] if t > 5 or (k + t) % (t + 2) == 0]
+    tokens = [(q, q % 2, t, 1 + q % 2) for q in range(40) for t in [(q // 2) % 3, 3 + (q // 2) % 2, 100 + q]]
+    table = spark.createDataFrame(weighed, "scope int, token int, key int, w double, bonus double, own double")
+    asked = spark.createDataFrame(tokens, "query_id int, scope int, token int, times int")
+    whole, by_word = defaultdict(float), defaultdict(list)
+    for s, t, k, w, b, _ in weighed:
+        by_word[s, t].append((k, w, b))
+    for q, s, t, n in tokens:
+        for k, w, b in by_word[s, t]:
+            whole[q, s, k] += w * n + b
+    for limit, few in ((1, 5), (5, 5), (5, 0), (500, 5), (5, 1000)):
+        got = {(r.query_id, r.scope, r.key): r.score for r in topk.best_of_split(table, asked, "key", limit, 0.03, few).collect()}
+        for q in range(40):
+            scores = {k[2]: v + own(k[2]) for k, v in whole.items() if k[0] == q}
+            mine = {k[2]: v for k, v in got.items() if k[0] == q}
+            best = _best(scores, limit)
+            assert _best(mine, limit) == best and all(abs(scores[k] - mine[k]) < 1e-9 for k in best)
