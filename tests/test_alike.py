@@ -128,3 +128,14 @@ def test_equal_filters_meet_rows_once(spark):
     got = {(r.query_id, r.id) for r in questions.matches(rows, wanted, "id", ["tags"]).collect()}
     assert got == {(q, i) for q in range(400) for i in range(400) if (q % 4 == 0 and i % 2) or (q % 4 == 1 and i % 5)}
     assert _shuffled(spark) - before < 40_000 < len(got)
+
+
+def test_words_that_nobody_asks_for_leave_before_they_are_counted(spark):
+    rows = spark.createDataFrame([(i, [f"w{i}_{k}" for k in range(500)] + ["asked"] * (i % 2)) for i in range(60)] + [(99, [])], "id int, tokens array<string>")
+    asked = spark.createDataFrame([(1, "asked")], "query_id int, query string")
+    before = _shuffled(spark)
+    assert {r.id for r in retrieval.bm25(rows, asked, "id").collect()} == set(range(1, 60, 2))
+    assert _shuffled(spark) - before < 10_000
+    chunks, _, _ = _library(spark)
+    found = retrieval.postings(chunks, spark.createDataFrame([("bolt",)], "token string")).collect()
+    assert {r.token for r in found} == {"bolt"} and {r.length for r in found if r.chunk_id == 6} == {8}
